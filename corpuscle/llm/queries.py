@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .mixing import curriculum_mix
 from .near import near_duplicates
 
 
@@ -13,12 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum_mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_curriculum_mix": op4_curriculum_mix,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_curriculum_mix": mixing.ORACLE}
