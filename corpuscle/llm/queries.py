@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .decontaminate import contamination
 from .mixing import curriculum_mix
 from .near import near_duplicates
 
@@ -19,12 +20,17 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op6_positional_decontamination": op6_positional_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
