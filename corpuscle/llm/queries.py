@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
 from .decontaminate import contamination
+from .langid import identify_held_out
 from .mixing import curriculum_mix
 from .near import near_duplicates
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_naive_bayes_language": op3_naive_bayes_language,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op6_positional_decontamination": op6_positional_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
