@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, quality, toxicity
 from .decontaminate import contamination
 from .langid import identify_held_out
 from .mixing import curriculum_mix
@@ -29,6 +29,16 @@ def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
@@ -37,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_naive_bayes_language": op3_naive_bayes_language,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op6_positional_decontamination": op6_positional_decontamination,
+    "op7_noisy_or_toxicity": op7_noisy_or_toxicity,
+    "op8_crf_quality": op8_crf_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
