@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
-A sentence's probability is logistic in its hashed words, word beginnings and word pairs; a document's is the noisy-or
-of its sentences'. The gradient of the document's log-likelihood flows to the sentences through the noisy-or, so labels of
+A sentence's probability is logistic in its hashed words and word beginnings; a document's is the noisy-or of its
+sentences'. The gradient of the document's log-likelihood flows to the sentences through the noisy-or, so labels of
 documents alone teach which sentences offend.
 """
 
@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import training_sample
-from .textops import ALNUM, LOWER, chunks, crc_mod, mix, prefix_prints, span_prints, string_column, words
+from .textops import ALNUM, LOWER, chunks, crc_mod, prefix_prints, span_prints, string_column, words
 
 TRAIN_DOCS = 8000
 BITS = 18
-KINDS = 3
+HEADS = (4, 6, 8)
+KINDS = 1 + len(HEADS)
+#: Features count whose log-odds between toxic and clean documents of the sample exceed so many standard errors.
+LEAST_Z = 3.5
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
@@ -39,13 +42,9 @@ def sentence_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np
     sent = np.cumsum(new) - 1
     pre = prefix_prints(low)
     w = span_prints(pre, ws, we)
-    head = span_prints(pre, ws, np.minimum(we, ws + 5))
-    with np.errstate(over="ignore"):
-        pair = np.zeros(len(w), np.uint64)
-        pair[1:] = np.where(new[1:], np.uint64(1), w[:-1] * np.uint64(3))
-        pair = mix(pair + w)
+    heads = [span_prints(pre, ws, np.minimum(we, ws + k)) for k in HEADS]
     shift, mask = np.uint64(40), np.uint64((1 << BITS) - 1)
-    f = np.stack([(v >> shift & mask).astype(np.int32) + (i << BITS) for i, v in enumerate((w, head, pair))], 1)
+    f = np.stack([(v >> shift & mask).astype(np.int32) + (i << BITS) for i, v in enumerate((w, *heads))], 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(ws)) - 1
     return f, sent, text[first], ws[first], we[last]
@@ -70,7 +69,7 @@ def noisy_or(z: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(text, _softplus(z), n))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int = 5, held: int = 0, epochs: int = 12, rate: float = 0.15, l2: float = 2e-5, seed: int = 1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int = 5, held: int = 0, epochs: int = 15, rate: float = 0.5, l2: float = 1e-4, seed: int = 1) -> ToxicityModel:
     """Fit on at most ``bound`` labelled documents with Adagrad. Their feature numbers, not their texts, come to the driver."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +92,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int
     feats = [np.frombuffer(r.f, np.int32).reshape(-1, KINDS) for r in rows]
     sents = [np.frombuffer(r.sent, np.int32) for r in rows]
     label = np.array([r.label for r in rows], float)
-    w, acc = np.zeros(KINDS << BITS), np.full(KINDS << BITS, 1e-3)
+    seen = np.zeros((2, KINDS << BITS))
+    for f, y in zip(feats, label.astype(int), strict=True):
+        seen[y, np.unique(f)] += 1
+    total = np.array([(label == 0).sum(), (label == 1).sum()])[:, None]
+    has, lacks = seen + 0.5, total - seen + 0.5
+    odds = np.log(has[1] / lacks[1]) - np.log(has[0] / lacks[0])
+    usable = odds >= LEAST_Z * np.sqrt((1 / has + 1 / lacks).sum(0))
+    w, acc = np.zeros(KINDS << BITS), np.full(KINDS << BITS, 0.05)
     bias, bias_acc = model.bias, 1e-2
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -111,9 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int
             s = np.maximum(np.bincount(text, _softplus(z), len(part)), 1e-6)
             y = label[part]
             down = np.where(y == 1, np.maximum(-np.exp(-s) / -np.expm1(-s), -20.0), 1.0)
-            g = (down[text] / (1 + np.exp(-z))) / len(part)
+            g = (down[text] / (1 + np.exp(-np.clip(z, -60, 60)))) / len(part)
             hit, inv = np.unique(f.ravel(), return_inverse=True)
-            gf = np.bincount(inv, np.repeat(g[sent], KINDS), len(hit)) + l2 * w[hit]
+            gf = np.where(usable[hit], np.bincount(inv, np.repeat(g[sent], KINDS), len(hit)) + l2 * w[hit], 0.0)
             acc[hit] += gf * gf
             w[hit] -= rate * gf / np.sqrt(acc[hit])
             gb = float(g.sum())
@@ -152,6 +158,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
 
     ``offending`` lists first byte and end byte, in turn, of each sentence that is itself more likely toxic than not. A
     null text, or one without words, scores 0. A null id gives a null ``held_out``; repeated rows repeat; other columns
-    are ignored. One scan, no shuffle; the model has a fixed size of 3 MB and is broadcast."""
+    are ignored. One scan, no shuffle; the model has a fixed size of 4 MB and is broadcast."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold, mod, held), "doc_id long, held_out boolean, score double, predicted int, offending array<long>")
