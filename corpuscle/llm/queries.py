@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, quality, toxicity
+from .ann import nearest
 from .decontaminate import contamination
 from .langid import identify_held_out
 from .mixing import curriculum_mix
@@ -39,6 +40,11 @@ def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_positional_decontamination": op6_positional_decontamination,
     "op7_noisy_or_toxicity": op7_noisy_or_toxicity,
     "op8_crf_quality": op8_crf_quality,
+    "op9_balanced_posting_lists": op9_balanced_posting_lists,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
