@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .langid import identify_held_out
 from .mixing import curriculum_mix
 from .near import near_duplicates
+from .repeats import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_bucket_pointer_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_naive_bayes_language": op3_naive_bayes_language,
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op5_bucket_pointer_repeats": op5_bucket_pointer_repeats,
     "op6_positional_decontamination": op6_positional_decontamination,
     "op7_noisy_or_toxicity": op7_noisy_or_toxicity,
     "op8_crf_quality": op8_crf_quality,
