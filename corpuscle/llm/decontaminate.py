@@ -209,3 +209,22 @@ def contamination(docs: DataFrame, tests: DataFrame, width: int = WINDOW, block_
     found = found.mapInArrow(_cover, "doc_id long, n_words long, n_hit long, items array<string>")
     items = F.array_sort(F.array_distinct("items"))
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, tests: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text holds no window of any item. One scan, no shuffle."""
+
+    def search(block: Any):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                buf, offs = string_column(batch.column("text"))
+                clean = np.ones(batch.num_rows, bool)
+                for a, b in chunks(offs):
+                    clean[a + Shard(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]).phrases()[2]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for block in blocks(docs.sparkSession, tests, width, block_bytes):
+        docs = docs.mapInArrow(search(block), docs.schema)
+    return docs

@@ -171,3 +171,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     out = sketch.select("doc_id", *same).join(to, same, "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """``docs`` without the near-duplicates of a smaller id; all columns as they are. Rows with a null id stay."""
+    gone = near_duplicates(docs, k, percent, hashes, rows).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
