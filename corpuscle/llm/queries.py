@@ -10,6 +10,7 @@ from . import mixing, quality, toxicity
 from .ann import nearest
 from .decontaminate import contamination
 from .langid import identify_held_out
+from .lm import score_texts
 from .mixing import curriculum_mix
 from .near import near_duplicates
 from .repeats import remove_repeats
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_maxent_lm": op2_maxent_lm,
     "op3_naive_bayes_language": op3_naive_bayes_language,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_bucket_pointer_repeats": op5_bucket_pointer_repeats,
