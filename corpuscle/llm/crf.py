@@ -90,8 +90,8 @@ class Crf:
                 done[i - 1] = True
         return y
 
-    def fit(self, active: np.ndarray, chains: Chains, y: np.ndarray, steps: int = 60, rate: float = 0.1, l2: float = 1e-3, weight: np.ndarray | None = None) -> Crf:
-        """Raise the penalised conditional log-likelihood of labels ``y`` with Adam on the exact gradient."""
+    def fit(self, active: np.ndarray, chains: Chains, y: np.ndarray, steps: int = 60, rate: float = 0.1, l2: float = 1e-3, null: int | None = None) -> Crf:
+        """Raise the penalised conditional log-likelihood of labels ``y`` with Adam on the exact gradient. The feature ``null`` keeps no weight."""
         n = max(1, chains.n)
         theta = np.concatenate([self.w, self.trans.ravel(), self.start])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -105,6 +105,8 @@ class Crf:
             mu, pairs, first = self.marginals(self.unary(active), chains, expect=True)
             d = yf - mu
             g = np.concatenate([np.bincount(active.ravel(), np.repeat(d, active.shape[1]), k), (pairs_y - pairs).ravel(), first_y - first]) / n - l2 * theta / 10
+            if null is not None:
+                g[null] = 0.0
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             self.w, self.trans, self.start = theta[:k], theta[k : k + 4].reshape(2, 2), theta[k + 4 :]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, quality, toxicity
 from .ann import nearest
 from .decontaminate import contamination
+from .html import extract_pages
 from .langid import identify_held_out
 from .lm import score_texts
 from .mixing import curriculum_mix
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_main_text": op1_crf_main_text,
     "op2_maxent_lm": op2_maxent_lm,
     "op3_naive_bayes_language": op3_naive_bayes_language,
     "op4_curriculum_mix": op4_curriculum_mix,
