@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     Takes ``doc_id`` and a text; other columns are ignored, whatever their names. Returns ``doc_id, n_shingles,
     component_id, kept`` once for each row. Words are runs of bytes other than space and 0x09-0x0D, A-Z lowered. A null
     or empty text has no shingles and stands alone; a row with a null id stands alone, its component null, kept; rows
-    repeated under one id give their rows again with one component. An empty table gives no rows.
+    repeated under one id give their rows again with one component, and different texts of one id are documents of that id
+    each. An empty table gives no rows.
 
     Scale: texts that have the same set are first folded into their smallest id (a hash aggregate, so thousands of
     copies cost nothing further). Bands link each set to the smallest id of its bucket; a bucket whose sets all fell
@@ -145,7 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     hubs = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     buckets = scratch.keep(banded.join(hubs, "band"), "buckets")
     cand = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.keep(src.join(cand, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "rep long, hashes binary"), "sets")
+    sets = scratch.keep(src.join(cand, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "rep long, hashes binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

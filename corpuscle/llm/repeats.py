@@ -227,14 +227,14 @@ def _cover_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _found(np.asarray(batch.column("doc_id")), np.asarray(batch.column("s")))
 
 
-def _cut(emit_text: bool):
+def _cut(emit_text: bool, span_name: str, copy_name: str):
     """Removes the given intervals from each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = string_column(batch.column("text"))
-            copy = np.asarray(batch.column("copy"))
-            spans = batch.column("spans")
+            copy = np.asarray(batch.column(copy_name))
+            spans = batch.column(span_name)
             ends = np.asarray(spans.offsets)
             flat = spans.values
             a_all, e_all = (np.asarray(flat.field(c)).astype(np.int64) for c in ("a", "e"))
@@ -256,7 +256,7 @@ def _cut(emit_text: bool):
                 raw = text.tobytes()
                 kept.append(raw) if emit_text else shas.append(hashlib.sha256(raw).hexdigest())
             if emit_text:
-                rest = [c for c in batch.schema.names if c not in ("text", "copy", "spans")]
+                rest = [c for c in batch.schema.names if c not in ("text", copy_name, span_name)]
                 new = [r.decode("utf-8", "ignore") if ok else None for ok, r in zip(batch.column("text").is_valid().to_pylist(), kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(new, pa.string())], [*rest, "text"])
             else:
@@ -297,10 +297,20 @@ def _repeated(docs: DataFrame, scratch: Scratch, hot_rows: int) -> tuple[DataFra
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "e")).alias("spans")), copies
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, copies: DataFrame) -> DataFrame:
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, copies: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with each text's intervals and whether it is a whole copy, under names that are free."""
+    s, c, key = _free("spans", docs.columns), _free("copy", docs.columns), _free("of", docs.columns)
     none = F.array().cast("array<struct<a:bigint,e:bigint>>")
-    out = docs.join(spans, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-    return out.withColumn("spans", F.coalesce("spans", none)).withColumn("copy", F.coalesce("copy", F.lit(False)))
+    marks = spans.join(copies.select("doc_id", F.lit(True).alias("whole")), "doc_id", "full")
+    marks = marks.select(F.col("doc_id").alias(key), F.coalesce("spans", none).alias(s), F.coalesce("whole", F.lit(False)).alias(c))
+    out = docs.join(marks, docs["doc_id"] == marks[key], "left").drop(key)
+    return out.withColumn(s, F.coalesce(s, none)).withColumn(c, F.coalesce(c, F.lit(False))), s, c
 
 
 def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS, scratch: Scratch | None = None) -> DataFrame:
@@ -320,14 +330,16 @@ def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS, scratch: Scratch |
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans, copies = _repeated(src, scratch, hot_rows)
-    return _with_spans(src, spans, copies).select("doc_id", "text", "copy", "spans").mapInArrow(_cut(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, s, c = _with_spans(src, spans, copies)
+    return marked.select("doc_id", "text", c, s).mapInArrow(_cut(False, s, c), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def keep_first_strings(docs: DataFrame, hot_rows: int = HOT_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with their texts cut as in ``remove_repeats``, all columns kept and in order. Characters of which a part went are dropped whole. Columns named ``spans`` or ``copy`` are not allowed."""
+    """``docs`` with their texts cut as in ``remove_repeats``, all columns kept and in order. Characters of which a part went are dropped whole."""
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     spans, copies = _repeated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch, hot_rows)
     rest = [c for c in docs.columns if c != "text"]
     fields = {f.name: f for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in [*rest, "text"])
-    return _with_spans(docs, spans, copies).select(*rest, "text", "copy", "spans").mapInArrow(_cut(True), schema).select(*docs.columns)
+    marked, s, c = _with_spans(docs, spans, copies)
+    return marked.select(*rest, "text", c, s).mapInArrow(_cut(True, s, c), schema).select(*docs.columns)
