@@ -34,8 +34,9 @@ def spearman(df: DataFrame, x: str, y: str, groups: list[str] | None = None) ->
     if not keys:
         both, keys = both.withColumn("_all", F.lit(1)), ["_all"]
     ranked = average_ranks(average_ranks(both, x, "_rx", keys), y, "_ry", keys)
-    varies = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
-    out = ranked.groupBy(*keys).agg(F.when(varies, F.corr("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
+    # a constant side has no correlation; corr itself would fail on it
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    out = ranked.groupBy(*keys).agg(rho.alias("rho"), F.count("*").alias("n"))
     return out.drop("_all")
 
 

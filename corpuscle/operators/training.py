@@ -226,6 +226,15 @@ def loss(syn0: np.ndarray, syn1: np.ndarray, x: np.ndarray, y: np.ndarray) -> fl
     return float(np.mean(np.logaddexp(0, -np.einsum("nd,nd->n", syn0[x], syn1[y]))))
 
 
+def _draws(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``n`` numbers in [0, 1) for each key, by mixing key, place and seed: the same wherever the pair is trained."""
+    with np.errstate(over="ignore"):
+        h = keys.view(np.uint64)[:, None] + (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
 def _learn(held: Any, negative: int, seed: int, batch: int = 256):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start0, start1, word_cdf, entity_cdf, offset = held.value
@@ -235,7 +244,7 @@ def _learn(held: Any, negative: int, seed: int, batch: int = 256):
             for i in range(0, len(pdf), batch):
                 p = pdf.iloc[i : i + batch]
                 x, y, alpha = p["src"].to_numpy(), p["dst"].to_numpy(), p["alpha"].to_numpy()
-                draws = np.stack([np.random.default_rng([seed, int(k)]).random(negative) for k in p["key"].to_numpy(np.int64).view(np.uint64)]) if negative else np.zeros((len(p), 0))
+                draws = _draws(p["key"].to_numpy(np.int64), negative, seed)
                 neg = np.where((y < offset)[:, None], np.searchsorted(word_cdf, draws, "right").clip(0, max(0, len(word_cdf) - 1)), offset + np.searchsorted(entity_cdf, draws, "right").clip(0, max(0, len(entity_cdf) - 1)))
                 batch_update(syn0, syn1, x, y, neg, alpha)
                 met0[x] = True

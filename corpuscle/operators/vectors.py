@@ -59,7 +59,9 @@ def batch_similar(queries: DataFrame, items: DataFrame, count: int, column: str
     out = None
     for start in range(max(1, -(-n // query_block))):
         part = rows.where(F.pmod(F.xxhash64("idx"), F.lit(max(1, -(-n // query_block)))) == start).select("idx", "v").toPandas()
-        q = np.array(part["v"].tolist(), float).reshape(len(part), -1)
+        if not len(part):
+            continue
+        q = np.array(part["v"].tolist(), float)
         held = spark.sparkContext.broadcast((part["idx"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
         def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -80,6 +82,8 @@ def batch_similar(queries: DataFrame, items: DataFrame, count: int, column: str
 
         found = items.select("idx", F.col(column).cast("array<double>").alias("v")).mapInPandas(score, "query_idx long, idx long, score double")
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_idx long, rank int, idx long, score double")
     best = Window.partitionBy("query_idx").orderBy(F.desc("score"), "idx")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count).select("query_idx", "rank", "idx", "score")
 

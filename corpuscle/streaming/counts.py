@@ -13,7 +13,7 @@ def stream_word_counts(documents: DataFrame, out: str, checkpoint: str, doc: str
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select(F.col(doc).alias("doc"), F.explode(F.split("text", "\n")).alias("text")).select("doc", word_array(F.col("text")).alias("w"))
-        rows = rows.where(F.size("w") >= min_paragraph_len).select("doc", F.lower(F.explode("w")).alias("word"))
+        rows = rows.where(F.size("w") >= min_paragraph_len).select("doc", F.explode("w").alias("word")).withColumn("word", F.lower("word"))
         counts = rows.groupBy("doc", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("doc_count"))
         counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
