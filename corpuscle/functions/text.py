@@ -85,12 +85,9 @@ def _icu(language: str) -> Tokenizer:
     def cut(text: str) -> list[tuple[str, int, int]]:
         it = BreakIterator.createWordInstance(Locale(language))
         it.setText(text)
-        out, start = [], 0
-        for end in it:
-            if whole.match(text[start:end]):
-                out.append((text[start:end], start, end))
-            start = end
-        return out
+        marks = [0, *it]
+        pieces = ((text[a:b], a, b) for a, b in zip(marks, marks[1:]))
+        return [p for p in pieces if whole.match(p[0])]
 
     return PythonTokenizer(cut)
 
@@ -152,11 +149,8 @@ def get_sentence_detector(name: str, language: str = "en") -> Callable[[DataFram
         def cut(text: str | None) -> list[dict]:
             it = BreakIterator.createSentenceInstance(Locale(language))
             it.setText(text or "")
-            out, start = [], 0
-            for end in it:
-                out.append({"start": start, "end": end})
-                start = end
-            return out
+            marks = [0, *it]
+            return [{"start": a, "end": b} for a, b in zip(marks, marks[1:])]
 
         return texts.map(cut)
 

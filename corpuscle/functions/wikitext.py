@@ -39,7 +39,8 @@ class Paragraph(NamedTuple):
 def _clean_title(raw: str) -> str:
     title = _plain(raw).strip(" ")
     title = title.removeprefix(":")
-    return (title[0].upper() + title[1:]).replace("_", " ") if title else ""
+    rest = title[1:].replace("_", " ")
+    return title[:1].replace("_", " ").upper() + rest
 
 
 def _matching(text: str, at: int, opening: str, closing: str) -> int:

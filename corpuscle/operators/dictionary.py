@@ -157,17 +157,15 @@ class Dictionary:
         row = self.get_word(word)
         return -1 if row is None else row["idx"]
 
-    def get_entity_index(self, title: str, resolve_redirect: bool = True) -> int:
-        if resolve_redirect:
-            row = self.redirect_idx.where(F.col("src") == title).first()
-            if row is not None:
-                return row["entity_idx"]
-        row = self.entities.where(F.col("title") == title).first()
-        return -1 if row is None else row["idx"]
-
-    def get_entity(self, title: str, resolve_redirect: bool = True, default: object = None):
-        idx = self.get_entity_index(title, resolve_redirect)
-        return default if idx < 0 else self.get_entity_by_index(idx)
+    def get_entity_index(self, name: str, resolve_redirect: bool = True):
+        """The index of a title, -1 for a miss; a redirect's target goes before the title itself."""
+        hit = self.redirect_idx.where(F.col("src") == name).select(F.col("entity_idx").alias("idx")).first() if resolve_redirect else None
+        hit = hit or self.entities.where(F.col("title") == name).select("idx").first()
+        return hit["idx"] if hit else -1
+
+    def get_entity(self, name: str, resolve_redirect: bool = True, default: object = None):
+        at = self.get_entity_index(name, resolve_redirect)
+        return self.get_entity_by_index(at) if at >= 0 else default
 
     def _by_index(self, df: DataFrame, idx: int):
         row = df.where(F.col("idx") == idx).first()

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .vectors import cosine
 
-#: The seeds of the relatedness set by category; the mean over seeds doesn't depend on it.
-KORE_CATEGORIES: dict[str, tuple[str, ...]] = {
-    "it_companies": ("Apple Inc.", "Google", "Facebook", "Microsoft", "IBM"),
-    "celebrities": ("Angelina Jolie", "Brad Pitt", "Johnny Depp", "Jennifer Aniston", "Leonardo DiCaprio"),
-    "games": ("Grand Theft Auto IV", "Quake (video game)", "Deus Ex (series)", "Guitar Hero (video game)", "Max Payne"),
-    "tv_series": ("The Sopranos", "The A-Team", "Futurama", "The Wire", "Mad Men"),
-    "chuck_norris": ("Chuck Norris",),
+#: The seeds of the relatedness set by kind; the mean over seeds doesn't depend on it.
+SEED_KINDS: dict[str, list[str]] = {
+    "IT": "Apple Inc.|Facebook|Google|IBM|Microsoft".split("|"),
+    "people": "Angelina Jolie|Brad Pitt|Chuck Norris|Jennifer Aniston|Johnny Depp|Leonardo DiCaprio".split("|"),
+    "games": "Deus Ex (series)|Grand Theft Auto IV|Guitar Hero (video game)|Max Payne|Quake (video game)".split("|"),
+    "series": "Futurama|Mad Men|The A-Team|The Sopranos|The Wire".split("|"),
 }
 
 

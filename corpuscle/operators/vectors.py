@@ -103,11 +103,11 @@ class Embedding:
             raise KeyError(name)
         return np.array(row[0], np.float32)
 
-    def get_word_vector(self, word: str) -> np.ndarray:
-        return self._vector("word", word)
+    def get_word_vector(self, name: str) -> np.ndarray:
+        return self._vector("word", name)
 
-    def get_entity_vector(self, title: str) -> np.ndarray:
-        return self._vector("entity", title)
+    def get_entity_vector(self, name: str) -> np.ndarray:
+        return self._vector("entity", name)
 
     def get_vector(self, idx: int) -> np.ndarray:
         row = self.items.where(F.col("idx") == idx).select("syn0").first()

@@ -111,10 +111,10 @@ class PageStore:
             raise KeyError(title)
         return self.paragraphs.where(F.col("title") == title).orderBy("para_no").collect()
 
-    def resolve_redirect(self, title: str, max_steps: int = 10) -> str:
+    def resolve_redirect(self, start: str, max_steps: int = 10) -> str:
         from ..operators.dictionary import resolve_redirects
 
-        one = self.redirects.sparkSession.createDataFrame([(title,)], "title string")
+        one = self.redirects.sparkSession.createDataFrame([(start,)], "title string")
         return resolve_redirects(one, self.redirects, "title", max_steps).first()["resolved"]
 
     def is_redirect(self, title: str) -> bool:
