@@ -18,6 +18,7 @@ from .scratch import Scratch
 from .textops import LOWER, SPACE, chunks, mix, prefix_prints, signed, span_prints, string_column, words
 
 HASHES, ROWS = 75, 5
+HUBS = 256
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,8 +134,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     Scale: texts that have the same set are first folded into their smallest id (a hash aggregate, so thousands of
     copies cost nothing further). Bands link each set to the smallest id of its bucket; a bucket whose sets all fell
     into one component is done, so a large group costs one comparison a member and not a pair each. Buckets still
-    holding several components then try their largest id as a second hub, and only what is still apart is compared in
-    full. A pair at the threshold shares no band with a chance of about (1 - 0.8**5)**30 = 7e-6.
+    holding several components then try their largest id as a second hub. What is still apart takes turns: about HUBS members of
+    each such bucket at a time meet the rest of it, and after each turn what has come together is compared no more, so a
+    turn emits a bounded number of pairs for each row. A pair at the threshold shares no band with a chance of about (1 - 0.8**5)**30 = 7e-6.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"))
@@ -154,19 +156,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
         with_a = with_b.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
         return scratch.keep(with_a.select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long"), "edges")
 
-    edges = confirm(buckets.select(F.col("lo").alias("a"), F.col("rep").alias("b")))
-    for last in (False, True):
+    def still_apart(members: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components, with their component and the bucket's largest id."""
         labels = components(edges, scratch).select(F.col("node").alias("rep"), "label")
-        apart = buckets.select("band", "rep").join(labels, "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-        open_ = apart.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rep").alias("hub")).where("l0 < l1")
-        apart = scratch.keep(apart.join(open_.select("band", "hub"), "band"), "apart")
-        if last:
-            left, right = (apart.select("band", F.col("rep").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = left.join(right, "band").where("la <> lb and a < b").select("a", "b")
-        else:
-            hub = apart.where("rep = hub").select("band", F.col("label").alias("lh"))
-            pairs = apart.join(hub, "band").where("label <> lh").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        now = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        several = now.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rep").alias("hub"), F.count("*").alias("n")).where("l0 < l1")
+        return scratch.keep(now.join(several.select("band", "hub", "n"), "band"), "apart")
+
+    edges = confirm(buckets.select(F.col("lo").alias("a"), F.col("rep").alias("b")))
+    apart = still_apart(buckets.select("band", "rep"))
+    hub = apart.where("rep = hub").select("band", F.col("label").alias("lh"))
+    edges = scratch.keep(edges.unionByName(confirm(apart.join(hub, "band").where("label <> lh").select(F.col("rep").alias("a"), F.col("hub").alias("b")))), "edges")
+    apart = still_apart(apart.select("band", "rep"))
+    blocks = F.ceil(F.col("n") / HUBS)
+    apart = apart.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "band"), blocks)).drop("hub", "n")
+    n_blocks = apart.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
+    for j in range(n_blocks):
+        hubs = apart.where(F.col("block") == j).select("band", F.col("rep").alias("a"), F.col("label").alias("la"))
+        rest = apart.where(F.col("block") >= j).select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), "block")
+        pairs = hubs.join(rest, "band").where((F.col("la") != F.col("lb")) & ((F.col("block") > j) | (F.col("a") < F.col("b")))).select("a", "b")
         edges = scratch.keep(edges.unionByName(confirm(pairs)), "edges")
+        if j + 1 < n_blocks:
+            apart = still_apart(apart.where(F.col("blocks") > j + 1).select("band", "rep", "blocks", "block")).drop("hub", "n")
     labels = components(edges, scratch).select(F.col("node").alias("rep"), "label")
     to = reps.select(*same, "rep").join(labels, "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
     out = sketch.select("doc_id", *same).join(to, same, "left")

@@ -41,6 +41,12 @@ def test_against_all_pairs(spark):
         assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in out)
 
 
+def test_members_in_turns(spark, monkeypatch):
+    monkeypatch.setattr("corpuscle.llm.near.HUBS", 1)
+    out = near_duplicates(frame(spark, texts(3)), k=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(texts(3), 4)
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     docs = frame(spark, texts())
     kept = keep_one_of_each(docs)
