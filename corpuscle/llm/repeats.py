@@ -102,6 +102,8 @@ def _drop_singletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Of rows sorted by bucket, those in a bucket of several suffixes; state is one row."""
     held = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         cols = [np.asarray(batch.column(c)) for c in ("k", "doc_id", "s", "n")]
         if held is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
