@@ -155,7 +155,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.ones(len(order), bool)
             x = order
             first[1:] = (whole[x[1:]] != whole[x[:-1]]) | (h[x[1:]] != h[x[:-1]]) | (n[x[1:]] != n[x[:-1]])
-            new, old = np.sort(order[first]), np.sort(order[~first])
+            # rows of one place (repeated rows of an id) are no repeats of each other: those of the first place are dropped
+            lead = x[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
+            later = (doc[x] != doc[lead]) | (s[x] != s[lead])
+            new, old = np.sort(order[first]), np.sort(order[later])
             raw = part.tobytes()
             pick = np.concatenate([new, old])
             context = [raw[i:j] for i, j in zip(lo[new].tolist(), hi[new].tolist(), strict=True)] + [None] * len(old)

@@ -1,10 +1,11 @@
 import hashlib
+import random
 
 import numpy as np
 
 from corpuscle.llm.repeats import LENGTH, bucket_ids, keep_first_strings, remove_repeats
 
-from .cases import empty, frame, texts
+from .cases import empty, frame, prose, texts
 
 
 def brute(rows):
@@ -37,6 +38,18 @@ def test_against_all_windows(spark):
         assert sorted((tuple(r) for r in out), key=str) == brute(texts())
 
 
+def test_repeated_rows_alone(spark):
+    """Rows of one id whose text stands under no other id keep it; a repeat inside the text goes from each of them."""
+    rng = random.Random(5)
+    one, two = prose(rng, 150), prose(rng, 80)
+    inner = two + " | " + prose(rng, 5) + " | " + two
+    rows = [(1, one), (1, one), (2, inner), (2, inner), (2, inner), (3, prose(rng, 90))]
+    want = brute(rows)
+    assert [r[2] > 0 for r in want] == [False, False, True, True, True, False]
+    for hot in (20_000, 0):
+        assert sorted((tuple(r) for r in remove_repeats(frame(spark, rows).coalesce(1), hot_rows=hot).collect()), key=str) == want
+
+
 def test_cut_texts_keep_columns(spark):
     docs = frame(spark, texts())
     out = keep_first_strings(docs)
