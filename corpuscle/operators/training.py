@@ -272,7 +272,7 @@ def all_pairs(paragraphs: DataFrame, links: DataFrame, dictionary: Dictionary, g
     words = word_pairs(tok, keys, params.window, keep, seed, window_mode=params.window_mode).select(page, "src", "dst", F.xxhash64(F.lit(seed), *keys, "pos", "ctx").alias("key"))
     found = None
     if mentions is not None:
-        ents = page_entities(links, dictionary, page)
+        ents = page_entities(links, dictionary, page, own="title" if "title" in links.columns else None)
         found = mentions.detect(paragraphs, keys, ents, page)
     long_enough = paragraphs.join(tok.select(*keys).distinct(), keys, "left_semi").select(*keys, F.length("text").alias("length"))
     targets = target_links(links, found, long_enough, dictionary, keys)

@@ -524,10 +524,11 @@ def gold_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("train_smoke")
 def train_smoke(spark: SparkSession, sf: str) -> DataFrame:
-    """A short run over a few paragraphs: names and lengths of the vectors."""
-    p = X.paragraphs(spark, sf).where("doc_id < 40")
-    links = X.page_links(spark, sf).where("page_id < 40").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("para_no"), "target", "text", F.lit(0).alias("start"), F.lit(3).alias("end"))
-    red = spark.createDataFrame([], "src string, dst string")
-    d = D.Dictionary.build(p, links, red, None, "en", DictionaryParams(min_word_count=20, min_entity_count=1), paragraph_doc="doc_id", link_doc="doc_id")
-    model = E.train(p, links, d, None, None, TrainParams(dim_size=16, iteration=1, window=2), ["doc_id", "para_no"], partitions=4)
+    """One iteration over all documents and pages, with the link graph and detected mentions: names and lengths of the vectors."""
+    p = X.paragraphs(spark, sf)
+    links = X.page_links(spark, sf).select(F.col("page_id").alias("doc_id"), F.lit(0).alias("para_no"), "title", "target", "text", F.lit(0).alias("start"), F.lit(3).alias("end"))
+    d = D.Dictionary.build(p, links, X.redirects(spark, sf), X.disambiguations(spark, sf), "en", DictionaryParams(min_word_count=20, min_entity_count=1), paragraph_doc="doc_id", link_doc="doc_id")
+    graph = G.LinkGraph.build(links, d)
+    mentions = N.MentionDB.build(p, links, d, MentionParams(min_link_prob=0.05, min_prior_prob=0.1), "doc_id")
+    model = E.train(p, links, d, graph, mentions, TrainParams(dim_size=16, iteration=1, window=2), ["doc_id", "para_no"], partitions=4)
     return model.items.select("kind", "name", F.size("syn0").alias("dim"), F.round(V.norm(F.col("syn0")), 3).alias("length"))

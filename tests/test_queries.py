@@ -39,6 +39,22 @@ def test_query(spark, data, db, name):
     assert got == sorted([plain(r[i]) for i in order] for r in rel.fetchall())
 
 
+def test_training_takes_everything(spark, data, monkeypatch):
+    """The training query trains on every paragraph and link, with link-graph pairs and detected mentions."""
+    seen = []
+    whole = catalogue.E.train
+
+    def spy(paragraphs, links, dictionary, graph=None, mentions=None, params=None, keys=None, **rest):
+        seen.append((paragraphs.count(), links.count(), graph is not None and graph.edges.count(), mentions is not None and mentions.detect(paragraphs, keys).count()))
+        return whole(paragraphs, links, dictionary, graph, mentions, params, keys, **rest)
+
+    monkeypatch.setattr(catalogue.E, "train", spy)
+    assert catalogue.QUERIES["train_smoke"](spark, data).count() > 0
+    p, k, edges, found = seen[0]
+    assert (p, k) == (catalogue.X.paragraphs(spark, data).count(), catalogue.X.page_links(spark, data).count())
+    assert edges > 0 and found > 0
+
+
 def test_entry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and set(catalogue.QUERIES) <= set(q)
