@@ -7,6 +7,8 @@ sequences that are that long, in probabilities normalised at every step, so no l
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 
@@ -28,14 +30,26 @@ class Chains:
         return self.first[: self.active[t]] + t
 
 
+class Ragged(NamedTuple):
+    """Active features of positions laid end to end, and where each position's begin and the last one's end; none is without features."""
+
+    ids: np.ndarray
+    offs: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.offs) - 1
+
+
 class Crf:
     def __init__(self, n_features: int):
         self.w = np.zeros(n_features)
         self.trans = np.zeros((2, 2))
         self.start = np.zeros(2)
 
-    def unary(self, active: np.ndarray) -> np.ndarray:
-        """Score of label 1 at each position from its (positions, k) active features."""
+    def unary(self, active: np.ndarray | Ragged) -> np.ndarray:
+        """Score of label 1 at each position from its (positions, k) or ragged active features."""
+        if isinstance(active, Ragged):
+            return np.add.reduceat(self.w[active.ids], active.offs[:-1]) if len(active) else np.zeros(0)
         return self.w[active].sum(1) if len(active) else np.zeros(0)
 
     def marginals(self, u: np.ndarray, chains: Chains, expect: bool = False):
@@ -90,7 +104,7 @@ class Crf:
                 done[i - 1] = True
         return y
 
-    def fit(self, active: np.ndarray, chains: Chains, y: np.ndarray, steps: int = 60, rate: float = 0.1, l2: float = 1e-3, null: int | None = None) -> Crf:
+    def fit(self, active: np.ndarray | Ragged, chains: Chains, y: np.ndarray, steps: int = 60, rate: float = 0.1, l2: float = 1e-3, null: int | None = None) -> Crf:
         """Raise the penalised conditional log-likelihood of labels ``y`` with Adam on the exact gradient. The feature ``null`` keeps no weight."""
         n = max(1, chains.n)
         theta = np.concatenate([self.w, self.trans.ravel(), self.start])
@@ -101,10 +115,11 @@ class Crf:
             np.add.at(pairs_y, (y[i - 1].astype(int), y[i].astype(int)), 1.0)
         first_y = np.array([(1 - yf[chains.first]).sum(), yf[chains.first].sum()])
         k = len(self.w)
+        ids, each = (active.ids, np.diff(active.offs)) if isinstance(active, Ragged) else (active.ravel(), active.shape[1])
         for step in range(1, steps + 1):
             mu, pairs, first = self.marginals(self.unary(active), chains, expect=True)
             d = yf - mu
-            g = np.concatenate([np.bincount(active.ravel(), np.repeat(d, active.shape[1]), k), (pairs_y - pairs).ravel(), first_y - first]) / n - l2 * theta / 10
+            g = np.concatenate([np.bincount(ids, np.repeat(d, each), k), (pairs_y - pairs).ravel(), first_y - first]) / n - l2 * theta / 10
             if null is not None:
                 g[null] = 0.0
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -11,16 +11,16 @@ import re
 import zlib
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .crf import Chains, Crf
+from .crf import Chains, Crf, Ragged
 
 BITS = 14
-WIDTH = 40
 TRAIN_PAGES = 400
 
 _BLOCK = frozenset(
@@ -167,9 +167,9 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
     return i
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """(blocks, WIDTH) feature numbers; the number 2**BITS fills up and has no weight."""
-    out = np.full((len(blocks), WIDTH), 1 << BITS, np.int32)
+def _numbers(blocks: list[Block]) -> list[list[int]]:
+    """The feature numbers of each block: all its ancestors' tags and names count, however many."""
+    out = []
     n = len(blocks)
     own = []
     for b in blocks:
@@ -194,11 +194,18 @@ def features(blocks: list[Block]) -> np.ndarray:
         f += [f"bt={before[0]}", f"bl={before[1]},{before[2]}", f"at={after[0]}", f"al={after[1]},{after[2]}"]
         f += [f"a={t}" for t in dict.fromkeys(b.path) if t in _BLOCK and t not in ("html", "body")]
         f += [f"n={x}" for x in dict.fromkeys(b.names)]
-        row = [_slot(x) for x in f[:WIDTH]]
-        out[i, : len(row)] = row
+        out.append([_slot(x) for x in f])
     return out
 
 
+def _ragged(rows: list[list[int]]) -> Ragged:
+    return Ragged(np.fromiter(chain.from_iterable(rows), np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64))
+
+
+def features(blocks: list[Block]) -> Ragged:
+    return _ragged(_numbers(blocks))
+
+
 def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[list[Block], list[int]]]:
     """Pages in random layouts whose blocks are known to be article (1) or not (0): the labels are marks in the text, removed before use."""
     rng = np.random.default_rng(seed)
@@ -300,11 +307,11 @@ def train(pages: Iterator[tuple[list[Block], list[int]]] | None = None) -> Crf:
     """Fit the model on labelled pages, by default TRAIN_PAGES written ones."""
     xs, ys, per = [], [], []
     for blocks, labels in pages if pages is not None else labelled_pages(TRAIN_PAGES):
-        xs.append(features(blocks))
+        xs.extend(_numbers(blocks))
         ys.extend(labels)
         per.append(len(blocks))
-    model = Crf((1 << BITS) + 1)
-    model.fit(np.concatenate(xs), Chains(np.array(per)), np.array(ys), steps=70, rate=0.2, l2=1e-4, null=1 << BITS)
+    model = Crf(1 << BITS)
+    model.fit(_ragged(xs), Chains(np.array(per)), np.array(ys), steps=70, rate=0.2, l2=1e-4)
     return model
 
 
@@ -318,7 +325,7 @@ def _extract_all(model: Crf, pages: list[str | None]) -> list[str]:
     per = np.array([len(b) for b in blocks], np.int64)
     if not per.sum():
         return [""] * len(pages)
-    x = np.concatenate([features(b) for b in blocks if b])
+    x = _ragged([f for b in blocks for f in _numbers(b)])
     y = model.viterbi(model.unary(x), Chains(per))
     out, at = [], 0
     for b in blocks:

@@ -34,6 +34,16 @@ def all_labels(crf, u):
     return seqs, np.array(scores)
 
 
+def test_nearest_names_count_on_deep_pages():
+    """Names on outer wrappers, however many, don't push out those of the nearest ancestors."""
+    prose_ = "Soko rine tula meso diver anba kori netu laso medi verthan bako rine tula, meso diver anba kori netu laso."
+    body = '<div class="entry-content"><h1>Bako rine</h1>' + f"<p>{prose_}</p>" * 4 + '</div><div class="comments">' + f'<div class="comment"><p>Comment {prose_}</p></div>' * 3 + "</div>"
+    wrappers = [" ".join("wp" + a + b for b in "abcdefghijklmno") for a in "abc"]
+    deep = "".join(f'<div class="{w}">' for w in wrappers) + body + "</div>" * 3
+    got = html.extract(html.train(), f"<html><body>{deep}</body></html>")
+    assert got.count("Soko") == 4 and "Comment" not in got
+
+
 def test_crf_marginals_and_viterbi():
     rng = np.random.default_rng(0)
     crf = Crf(1)
