@@ -136,10 +136,11 @@ def _predict(model: Any, mod: int, held: int):
             if m.langs:
                 for a, b in chunks(offs):
                     s, count = gram_scores(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], m.logp)
+                    top = (s + m.prior).argmax(1)
                     s = s * np.minimum(1.0, MAX_EVIDENCE / np.maximum(count, 1.0))[:, None] + m.prior
-                    top = s.argmax(1)
+                    p = np.exp(s - s.max(1, keepdims=True))
                     best[a:b] = top
-                    score[a:b] = 1 / np.exp(s - s[np.arange(b - a), top][:, None]).sum(1)
+                    score[a:b] = p[np.arange(b - a), top] / p.sum(1)
             best[~letter], score[~letter] = -1, 0.0
             names = np.array([*m.langs, "und"], object)
             ids = batch.column("doc_id")
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, model: LanguageModel, mod: int = 4, held: int = 2)
     """Predict the language of every whole text: ``doc_id, held_out, lang_pred, score``.
 
     ``lang_pred`` is a learned language, or 'und' with score 0 for a null text, one without a letter, or where nothing
-    was learned. ``score`` is the posterior of the prediction, the evidence of a text of more than MAX_EVIDENCE n-grams
+    was learned; all n-grams of the text decide it. ``score`` is the posterior of the prediction, the evidence of a text of more than MAX_EVIDENCE n-grams
     scaled to that many, so that long texts stay comparable. Ties go to the first language by name. A null doc_id gives
     a null ``held_out``; repeated rows repeat; other columns are ignored. No shuffle: the matrix is broadcast.
     """

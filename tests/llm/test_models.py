@@ -133,6 +133,16 @@ def test_langid(spark):
     assert all(0 <= r.score <= 1 for r in out) and langid.identify_held_out(df.limit(0)).count() == 0
 
 
+def test_all_evidence_decides_the_language(spark):
+    """Many n-grams of slight evidence outweigh a skewed prior, though the score counts but MAX_EVIDENCE of them."""
+    logp = np.full(((len(langid.ORDERS) << langid.BITS) + 1, 2), -1.0, np.float32)
+    logp[:, 1], logp[-1] = -0.99, 0
+    model = langid.LanguageModel(["aa", "bb"], np.asfortranarray(logp), np.log([0.99, 0.01]))
+    out = {r.doc_id: r for r in langid.identify(frame(spark, [(1, "abc def " * 500), (2, "abc")]), model).collect()}
+    assert out[1].lang_pred == "bb" and 0 < out[1].score < 0.5
+    assert out[2].lang_pred == "aa" and out[2].score > 0.5
+
+
 def test_langid_counts_are_those_of_the_formula():
     texts_ = ["abcd", "", "ab", "é"]
     raw = [t.encode() for t in texts_]
