@@ -73,6 +73,8 @@ def _hierarchy(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     if k == b:
         return c
     size = np.bincount(near, minlength=b)
+    if size.max() == len(x):  # rows that can't be told apart
+        return x[:k].copy()
     share = np.minimum(np.maximum(1, np.floor(size / len(x) * k)).astype(int), np.maximum(size, 1))
     for i in np.argsort(-(size / share), kind="stable")[: max(0, k - share.sum())]:
         share[i] += share[i] < size[i]
@@ -185,7 +187,7 @@ class Index:
     def __init__(self, sample: np.ndarray, n_rows: int, upper: int = UPPER, wanted: int = 20, recall: float = TARGET_RECALL):
         norm = _norms(sample)
         norm = norm[np.isfinite(norm)]
-        self.scale = float(np.quantile(norm, TALL, method="higher")) if len(norm) else 1.0
+        self.scale = float(np.quantile(norm, TALL, method="lower")) if len(norm) else 1.0
         x = sample[_norms(sample) <= self.scale * (1 + 1e-6)]
         lifted = self.lift(x)
         self.lists = Lists(lifted, n_rows, upper, wanted, recall)
