@@ -8,10 +8,11 @@ bands of ``rows`` values. Sets that share a band are candidates, and candidates
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
 from .scratch import Scratch
@@ -19,6 +20,10 @@ from .textops import LOWER, SPACE, chunks, mix, prefix_prints, signed, span_prin
 
 HASHES, ROWS = 75, 5
 HUBS = 256
+#: A family of candidates up to these sizes is compared in one task.
+FAMILY_SETS = 1000
+FAMILY_SHINGLES = 2_000_000
+SALTS = 16
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,6 +108,10 @@ def _sets(k: int):
     return run
 
 
+def _linked(u: int, v: int, both: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (u + v - both)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,15 +123,80 @@ def _confirm(percent: int):
                 if len(u) > len(v):
                     u, v = v, u
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                both = int((v[at] == u).sum())
-                ok[i] = 100 * both >= percent * (len(u) + len(v) - both)
+                ok[i] = _linked(len(u), len(v), (v[at] == u).sum(), percent)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, text: Column | str = "text", scratch: Scratch | None = None) -> DataFrame:
+def family_labels(ids: np.ndarray, h: np.ndarray, offs: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest id that each of some sets reaches over links; sets of one id are one node. A set is compared with all others at once, unless those are of its component already."""
+    n = len(ids)
+    if not n:
+        return ids
+    values, number = np.unique(h, return_inverse=True)
+    size = np.diff(offs)
+    label = ids.copy()
+    flag = np.zeros(len(values), np.int64)
+    for i in range(n):
+        other = label != label[i]
+        if not other.any() or not size[i]:
+            continue
+        mine = number[offs[i] : offs[i + 1]]
+        flag[mine] = 1
+        both = np.add.reduceat(np.append(flag[number], 0), offs[:-1]) * (size > 0)
+        flag[mine] = 0
+        for x in np.unique(label[other & (both > 0) & _linked(size[i], size, both, percent)]):
+            low, high = sorted((int(x), int(label[i])))
+            label[label == high] = low
+    return label
+
+
+def _families(k: int, percent: int):
+    """Labels of the members of one family, from their whole texts."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids = rows.column("doc_id").to_numpy()
+        buf, offs = string_column(rows.column("text"))
+        hs, size = [np.zeros(0, np.uint64)], []
+        for a, b in chunks(offs):
+            h, o = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k)
+            hs.append(h)
+            size.append(np.diff(o))
+        label = family_labels(ids, np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(size))]), percent)
+        node, first = np.unique(ids, return_index=True)
+        return pa.table({"rep": pa.array(node), "label": pa.array(label[first])})
+
+    return run
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct shingle of each set: ``rep, s, n, h``; ``s`` tells several sets of one id apart."""
+
+    for batch in batches:
+        ids = np.asarray(batch.column("rep"))
+        for i, raw in enumerate(batch.column("hashes")):
+            h = np.frombuffer(raw.as_buffer(), np.uint64)
+            which = int(np.bitwise_xor.reduce(mix(h)).astype(np.int64)) if len(h) else 0
+            for t in range(0, len(h), 1 << 16):
+                part = h[t : t + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), which)), pa.array(np.full(len(part), len(h))), pa.array(signed(part))], ["rep", "s", "n", "h"])
+
+
+def prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, rep``: sets of similarity ``percent`` or more share one of their rarest n - ceil(percent / 100 * n) + 1 shingles, so they meet in a group: a filter that loses none.
+
+    Shingles that a single set has take places among the rarest but make no group."""
+    rows = sets.mapInArrow(_shingle_rows, "rep long, s long, n long, h long")
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("rep", "s")
+    kept = rows.join(often, "h").withColumn("shared", F.count("*").over(mine)).withColumn("at", F.row_number().over(mine.orderBy("df", "h")))
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("shared"))
+    return kept.where(F.col("at") <= room).select(F.col("h").alias("key"), "rep").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, text: Column | str = "text", family_sets: int = FAMILY_SETS, scratch: Scratch | None = None) -> DataFrame:
     """Group documents whose sets of ``k``-word shingles have 100 * intersection >= percent * union, and all they reach.
 
     Takes ``doc_id`` and a text; other columns are ignored, whatever their names. Returns ``doc_id, n_shingles,
@@ -132,11 +206,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     each. An empty table gives no rows.
 
     Scale: texts that have the same set are first folded into their smallest id (a hash aggregate, so thousands of
-    copies cost nothing further). Bands link each set to the smallest id of its bucket; a bucket whose sets all fell
-    into one component is done, so a large group costs one comparison a member and not a pair each. Buckets still
-    holding several components then try their largest id as a second hub. What is still apart takes turns: about HUBS members of
-    each such bucket at a time meet the rest of it, and after each turn what has come together is compared no more, so a
-    turn emits a bounded number of pairs for each row. A pair at the threshold shares no band with a chance of about (1 - 0.8**5)**30 = 7e-6.
+    copies cost nothing further). Bands link each set to the smallest id of its bucket, and the components of these
+    candidate links are families. A family of at most ``family_sets`` sets and FAMILY_SHINGLES shingles goes to one task
+    with its texts, each sent once, and is compared there in full; nothing but labels comes out. In a larger family sets
+    first meet the smallest id of each bucket; those of buckets that still hold several components are then grouped
+    by their rarest shingles, which is exact, and meet the smallest, then the largest id of such a group, then, about
+    HUBS at a time, all others of it that they aren't linked with yet. So copies cost one comparison each, and sets
+    that only have common passages meet nowhere. A pair at the threshold shares no band with a chance of about
+    (1 - 0.8**5)**30 = 7e-6; what shares one is always compared.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"))
@@ -144,45 +221,80 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     sketch = scratch.keep(sketch, "sketch")
     same = ["n_shingles", "s1", "s2"]
     reps = scratch.keep(sketch.where("doc_id is not null and n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "reps")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    buckets = scratch.keep(banded.join(hubs, "band"), "buckets")
-    cand = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.keep(src.join(cand, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "rep long, hashes binary"), "sets")
+    banded = reps.select("rep", F.explode("bands").alias("key"))
+    pairs = scratch.keep(_meetings(banded, F.min).distinct(), "pairs")
+    family = components(pairs, scratch).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    family = scratch.keep(family, "families")
+    many = family.join(reps.select("rep", "n_shingles"), "rep").groupBy("family").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
+    many = many.where((F.col("sets") > family_sets) | (F.col("shingles") > FAMILY_SHINGLES)).select("family", F.lit(True).alias("large"))
+    member = scratch.keep(family.join(many, "family", "left").select(F.col("rep").alias("doc_id"), "family", F.coalesce("large", F.lit(False)).alias("large")), "members")
+    texts = src.join(member, "doc_id").dropDuplicates(["doc_id", "text"])
+    large = not member.where("large").isEmpty()
+    if large:
+        texts = scratch.keep(texts, "texts")
+    labels = texts.where("not large").groupBy("family").applyInArrow(_families(k, percent), "rep long, label long")
+    if large:
+        inside = scratch.keep(texts.where("large").mapInArrow(_sets(k), "rep long, hashes binary"), "sets")
+        labels = labels.unionByName(_link_large(pairs, banded, inside, percent, scratch))
+    labels = scratch.keep(labels, "labels")
+    scratch.drop(pairs, family, member, *([texts] if large else []))
+    to = reps.select(*same, "rep").join(labels, "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
+    out = sketch.where("n_shingles > 0").select("doc_id", *same).join(to, same, "left").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def _meetings(members: DataFrame, which: Any) -> DataFrame:
+    """``a, b``: each member of a group ``key`` of several with the group's smallest or largest id."""
+    hubs = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), which("rep").alias("hub")).where("lo < hi").select("key", "hub")
+    return members.join(hubs, "key").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+
+
+def _link_large(pairs: DataFrame, banded: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``rep, label`` of the members of large families, by comparing ``sets`` in pairs, ever fewer of which are left."""
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """Pairs that are links. The smaller id, a hub, may have any number of partners, so its set goes out to SALTS places."""
+        pairs = pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        hubs = sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep").select(F.col("rep").alias("a"), F.col("hashes").alias("ha"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-        with_a = with_b.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
-        return scratch.keep(with_a.select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long"), "edges")
-
-    def still_apart(members: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components, with their component and the bucket's largest id."""
-        labels = components(edges, scratch).select(F.col("node").alias("rep"), "label")
-        now = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        several = now.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rep").alias("hub"), F.count("*").alias("n")).where("l0 < l1")
-        return scratch.keep(now.join(several.select("band", "hub", "n"), "band"), "apart")
-
-    edges = confirm(buckets.select(F.col("lo").alias("a"), F.col("rep").alias("b")))
-    apart = still_apart(buckets.select("band", "rep"))
-    hub = apart.where("rep = hub").select("band", F.col("label").alias("lh"))
-    edges = scratch.keep(edges.unionByName(confirm(apart.join(hub, "band").where("label <> lh").select(F.col("rep").alias("a"), F.col("hub").alias("b")))), "edges")
-    apart = still_apart(apart.select("band", "rep"))
-    blocks = F.ceil(F.col("n") / HUBS)
-    apart = apart.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "band"), blocks)).drop("hub", "n")
-    n_blocks = apart.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
+        return scratch.keep(with_b.join(hubs, ["a", "salt"]).select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long"), "edges")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        found = components(edges, scratch).select(F.col("node").alias("rep"), "label")
+        return scratch.keep(sets.select("rep").distinct().join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "labels")
+
+    def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members of groups that hold several components, with their component and the group's size."""
+        now = members.join(labels, "rep")
+        several = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 < l1")
+        return now.join(several.select("key", "size"), "key")
+
+    edges = confirm(pairs.join(sets.select(F.col("rep").alias("a")).distinct(), "a"))
+    labels = labelled(edges)
+    left = apart(banded.join(sets.select("rep").distinct(), "rep"), labels).select("rep").distinct()
+    groups = scratch.keep(prefix_groups(sets.join(left, "rep"), percent), "groups")
+    for which in (F.min, F.max):
+        left = scratch.keep(apart(groups, labels), "apart")
+        meet = _meetings(left.select("key", "rep"), which)
+        known = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias("l" + c))
+        meet = meet.distinct().join(known("a"), "a").join(known("b"), "b").where("la <> lb").select("a", "b")
+        edges = scratch.keep(edges.unionByName(confirm(meet)), "edges")
+        labels = labelled(edges)
+    # what is still apart in a group shares a rare shingle with it and isn't linked with its ends: few, unless made so
+    blocks = F.ceil(F.col("size") / HUBS)
+    left = scratch.keep(apart(groups, labels).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks)).drop("size"), "apart")
+    n_blocks = left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
     for j in range(n_blocks):
-        hubs = apart.where(F.col("block") == j).select("band", F.col("rep").alias("a"), F.col("label").alias("la"))
-        rest = apart.where(F.col("block") >= j).select("band", F.col("rep").alias("b"), F.col("label").alias("lb"), "block")
-        pairs = hubs.join(rest, "band").where((F.col("la") != F.col("lb")) & ((F.col("block") > j) | (F.col("a") < F.col("b")))).select("a", "b")
-        edges = scratch.keep(edges.unionByName(confirm(pairs)), "edges")
+        hubs = left.where(F.col("block") == j).select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
+        rest = left.where(F.col("block") >= j).select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "block")
+        meet = hubs.join(rest, "key").where((F.col("la") != F.col("lb")) & ((F.col("block") > j) | (F.col("a") < F.col("b"))))
+        edges = scratch.keep(edges.unionByName(confirm(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))), "edges")
+        labels = labelled(edges)
         if j + 1 < n_blocks:
-            apart = still_apart(apart.where(F.col("blocks") > j + 1).select("band", "rep", "blocks", "block")).drop("hub", "n")
-    labels = components(edges, scratch).select(F.col("node").alias("rep"), "label")
-    to = reps.select(*same, "rep").join(labels, "rep", "left").select(*same, F.coalesce("label", "rep").alias("component"))
-    out = sketch.select("doc_id", *same).join(to, same, "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+            left = scratch.keep(apart(left.where(F.col("blocks") > j + 1).drop("label"), labels).drop("size"), "apart")
+    return labels
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
