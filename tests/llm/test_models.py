@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from corpuscle.llm import html, langid, lm, quality, toxicity
 from corpuscle.llm.crf import Chains, Crf
@@ -184,13 +185,84 @@ def test_lm_base_is_exact_and_model_is_better(spark):
     assert lm.score_texts(df.limit(0)).count() == 0
 
 
-def test_lm_is_a_distribution():
-    """The class probabilities of a history sum to one."""
-    model = lm.Maxent(np.arange(lm.UNITS + lm.SHAPES) % lm.CLASSES, np.zeros(lm.CLASSES))
-    model.w += np.random.default_rng(5).normal(size=model.w.shape)
-    f = lm.history(np.array([3, 5, 8, 2]), np.array([0, 3, 4]))
-    assert np.allclose(np.exp(model.log_probabilities(f)).sum(1), 1, atol=1e-5)
+def small_lm(spark, n=60):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(words[(i + j * int(rng.integers(1, 3))) % 30] for j in range(25))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows, docs, docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2")
+
+
+def test_lm_score_is_the_softmax_by_hand(spark):
+    """Every token's probability recomputed in plain Python from the trained weights; over all words and one unknown in each slot they sum to one."""
+    rows, docs, train = small_lm(spark)
+    counts = train.mapInArrow(lm._count, "h long, shape int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
+    n_tokens, n_types = counts.agg(F.sum("c"), F.count("*")).first()
+    v, m, norm = lm._model(train, counts, n_tokens, n_types, lm.ROUNDS, lm.TOP)
+    got = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    out = lambda z: [math.exp(x) / sum(map(math.exp, z)) for x in z]
+    count = dict(zip(v.h.tolist(), v.count.tolist()))
+    for i, text in rows[:12]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h, shape, lead = lm.tokens(raw, np.array([0, len(raw)]))
+        x = lm.history(h, lead)
+        total = 0.0
+        for t in range(len(h)):
+            f = [int(lm.rows(x[:, t : t + 1], m.bits)[k, 0]) for k in range(lm.FEATURES)]
+            by_class = out([float(m.bias[0][c]) + sum(float(m.w[0, r, c]) for r in f) for c in range(lm.CLASSES)])
+            by_leaf = {}
+            for c in range(lm.CLASSES):
+                g = [int(lm.rows(x[:, t : t + 1], m.bits, np.array([c]))[k, 0]) for k in range(lm.FEATURES)]
+                for s, p in enumerate(out([float(m.bias[1][c, s]) + sum(float(m.w[1, r, s]) for r in g) for s in range(lm.SLOTS)])):
+                    by_leaf[c * lm.SLOTS + s] = by_class[c] * p
+            if t == 0:
+                inside = {}
+                for w, u in zip(v.h.tolist(), range(len(v.h))):
+                    inside[int(m.leaf[u])] = inside.get(int(m.leaf[u]), 0) + (count[w] + 1) / 10 ** norm[m.leaf[u]]
+                unknown = sum(p / 10 ** norm[k] for k, p in by_leaf.items())
+                assert abs(sum(p * inside.get(k, 0) for k, p in by_leaf.items()) + unknown - 1) < 1e-5
+            unit = int(v.units(h[t : t + 1], shape[t : t + 1])[0])
+            leaf = int(m.leaf[unit])
+            total += math.log10(by_leaf[leaf] * (count.get(int(h[t]), 0) + 1) / 10 ** norm[leaf])
+        assert abs(total - got[i]) < 1e-4 * abs(total)
+
+
+def test_lm_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    m = lm.Maxent(rng.integers(lm.CLASSES * lm.SLOTS, size=50), rng.normal(size=lm.CLASSES), rng.normal(size=(lm.CLASSES, lm.SLOTS)), 6)
+    m.w = rng.normal(size=m.w.shape)  # in double precision
+    h, lead = rng.integers(1, 2**62, 40, dtype=np.uint64), np.array([0, 15, 40])
+    parts = m.features(h, lead, rng.integers(50, size=40))
+    g, seen = np.zeros(m.w.shape), np.zeros(m.w.shape)
+    m.gradient(*parts, g)
+    m.counts(*parts, seen)
+    assert seen.sum() == 2 * lm.FEATURES * 40
+    for _ in range(40):
+        at = tuple(rng.integers(n) for n in m.w.shape)
+        if rng.random() < 0.5:
+            at = tuple(np.argwhere(seen)[rng.integers((seen > 0).sum())])
+        old = m.w[at]
+        m.w[at] = old + 1e-4
+        up = m.log_leaf(*parts).sum()
+        m.w[at] = old - 1e-4
+        down = m.log_leaf(*parts).sum()
+        m.w[at] = old
+        assert abs((up - down) / 2e-4 - g[at]) < 1e-3
+
+
+def test_lm_does_not_depend_on_the_layout(spark):
+    """The same rows in 2 and in 16 partitions, with rare words joined or not."""
+    docs = frame(spark, texts())
+    two, sixteen = ({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.score_texts(docs.repartition(n)).collect()} for n in (2, 16))
+    assert two.keys() == sixteen.keys() and all(abs(two[k] - sixteen[k]) <= 1e-6 * abs(two[k]) for k in two)
+    few, every = (sorted(str((r.doc_id, r.n_known, round(r.base_score, 6))) for r in lm.score_texts(docs, top=n).collect()) for n in (5, lm.TOP))
+    assert few == every
+
+
+def test_lm_histories_are_of_one_text():
+    f = lm.history(np.array([3, 5, 8, 2], np.uint64), np.array([0, 3, 4]))
     assert (f[:, 0] == f[:, 3]).all()  # both begin a text
+    assert len({tuple(c) for c in f.T.tolist()}) == 3
 
 
 # toxicity and quality
