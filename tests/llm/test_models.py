@@ -232,7 +232,7 @@ def test_lm_gradient_is_that_of_the_likelihood():
     m = lm.Maxent(rng.integers(lm.CLASSES * lm.SLOTS, size=50), rng.normal(size=lm.CLASSES), rng.normal(size=(lm.CLASSES, lm.SLOTS)), 6)
     m.w = rng.normal(size=m.w.shape)  # in double precision
     h, lead = rng.integers(1, 2**62, 40, dtype=np.uint64), np.array([0, 15, 40])
-    parts = m.features(h, lead, rng.integers(50, size=40))
+    parts = h, lead, rng.integers(50, size=40)
     g, seen = np.zeros(m.w.shape), np.zeros(m.w.shape)
     m.gradient(*parts, g)
     m.counts(*parts, seen)
