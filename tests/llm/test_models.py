@@ -136,28 +136,94 @@ def test_langid(spark):
 
 def test_all_evidence_decides_the_language(spark):
     """Many n-grams of slight evidence outweigh a skewed prior, though the score counts but MAX_EVIDENCE of them."""
-    logp = np.full(((len(langid.ORDERS) << langid.BITS) + 1, 2), -1.0, np.float32)
-    logp[:, 1], logp[-1] = -0.99, 0
-    model = langid.LanguageModel(["aa", "bb"], np.asfortranarray(logp), np.log([0.99, 0.01]))
+    logp = np.full((len(langid.ORDERS) << langid.BITS, 2), -1.0, np.float32)
+    logp[:, 1] = -0.99
+    model = langid.LanguageModel(["aa", "bb"], logp, np.log([0.99, 0.01]))
     out = {r.doc_id: r for r in langid.identify(frame(spark, [(1, "abc def " * 500), (2, "abc")]), model).collect()}
     assert out[1].lang_pred == "bb" and 0 < out[1].score < 0.5
     assert out[2].lang_pred == "aa" and out[2].score > 0.5
 
 
-def test_langid_counts_are_those_of_the_formula():
-    texts_ = ["abcd", "", "ab", "é"]
-    raw = [t.encode() for t in texts_]
-    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    counts = langid.gram_counts(buf, offs, np.array([0, 0, 1, -1]), 2)
-    size = 1 << langid.BITS
-    for i, order in enumerate(langid.ORDERS):
-        assert counts[0, i * size : (i + 1) * size].sum() == max(0, 4 - order + 1) and counts[1, i * size : (i + 1) * size].sum() == max(0, 2 - order + 1)
-    logp = np.log((np.arange(len(langid.ORDERS) * size + 1) % 97 + 1.0))[:, None]
-    logp[-1] = 0
-    whole, _ = langid.gram_scores(buf, offs, np.asfortranarray(logp))
-    for k in range(4):
-        alone, _ = langid.gram_scores(np.frombuffer(raw[k], np.uint8), np.array([0, len(raw[k])]), np.asfortranarray(logp))
-        assert np.isclose(whole[k, 0], alone[0, 0])
+def bucket(gram, bits):
+    h = len(gram) * 0x3C6EF35F & 0xFFFFFFFF
+    for c in gram:
+        h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+        h ^= h >> 15
+    return (h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits
+
+
+def bayes(rows, bits):
+    """Naive Bayes over hashed character n-grams in plain Python: (learned from, text) -> (language, score)."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    grams = lambda t: [(n, bucket(t[i : i + n], bits)) for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)]
+    counts, docs = {}, {}
+    for i, t, lang in rows:
+        if i is not None and lang is not None and part(i, 4) != 2:
+            docs[lang] = docs.get(lang, 0) + 1
+            c = counts.setdefault(lang, {})
+            for g in grams(lower(t)):
+                c[g] = c.get(g, 0) + 1
+    total = {(lang, n): sum(v for g, v in c.items() if g[0] == n) for lang, c in counts.items() for n in (1, 2, 3, 4)}
+
+    def predict(t):
+        if not t or not re.search(r"[^\W\d_]", t) or not docs:
+            return "und", 0.0
+        gs = grams(lower(t))
+        prior = {lang: math.log(n / sum(docs.values())) for lang, n in docs.items()}
+        s = {lang: sum(math.log((counts[lang].get(g, 0) + 0.5) / (total[lang, g[0]] + 0.5 * 2**bits)) for g in gs) for lang in docs}
+        best = max(sorted(docs), key=lambda x: s[x] + prior[x])
+        scaled = {x: s[x] * min(1, 60 / len(gs)) + prior[x] for x in docs}
+        top = max(scaled.values())
+        return best, math.exp(scaled[best] - top) / sum(math.exp(v - top) for v in scaled.values())
+
+    return predict
+
+
+def test_langid_is_naive_bayes_by_hand(spark):
+    rng = np.random.default_rng(11)
+    words = {"el": "και το της με για είναι στην από".split(), "ru": "и в не на что по это как".split(), "zh": "的 是 不 了 我们 他们 在 有".split(), "en": "the of and to in is that it".split(), "x": "𝔞𝔟 😀 ä b̈ ß".split()}
+    rows = [(i, " ".join(rng.choice(words[k], int(rng.integers(1, 30)))), k) for i, k in enumerate(list(words) * 24)]
+    rows += [(900, None, "en"), (901, "", "ru"), (902, "12 ...", "ru"), (903, "the и το 的 " * 40, None), (904, "THE OF", "en"), (904, "THE OF", "en"), (None, "the", "ru")]
+    predict = bayes(rows, langid.bits_for(5))
+    out = langid.identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    want = sorted((str(i), *predict(t)) for i, t, _ in rows)
+    for (i, lang, p), r in zip(want, sorted(out, key=lambda r: (str(r.doc_id), r.lang_pred, r.score)), strict=True):
+        assert (i, lang) == (str(r.doc_id), r.lang_pred) and abs(p - r.score) < 1e-4
+
+
+def test_langid_of_many_languages(spark):
+    """600 languages, each with an alphabet of its own: none is refused, all are told apart, the matrix keeps its bound."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(600):
+        letters = [chr(0x4E00 + 10 * k + j) for j in range(10)]
+        rows += [(k * 4 + j, " ".join("".join(rng.choice(letters, 3)) for _ in range(20)), f"l{k}") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 600 and model.logp.nbytes <= langid.MATRIX_BYTES
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert np.mean([out[i] == lang for i, _, lang in rows]) > 0.99
+
+
+def test_scores_in_pieces(monkeypatch):
+    """Pieces that end inside texts and at their ends give the same sums."""
+    raw = ["abcd", "", "é", "a", "some more words here", ""]
+    enc = [t.encode() for t in raw]
+    buf, offs = np.frombuffer(b"".join(enc), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in enc])])
+    logp = np.random.default_rng(1).normal(size=(len(langid.ORDERS) << 8, 3)).astype(np.float32)
+    whole, n = langid.gram_scores(buf, offs, logp, 8)
+    for piece in (3, 6, 12, 30):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        cut, m = langid.gram_scores(buf, offs, logp, 8)
+        assert np.allclose(whole, cut) and (n == m).all()
+    assert list(n) == [10, 0, 1, 1, sum(20 - k for k in range(4)), 0]
+
+
+def test_characters_are_code_points():
+    ts = ["aBc", "", "é😀", "日本", "\x00 z"]
+    raw = [t.encode() for t in ts]
+    code, offs = langid.characters(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert [[chr(c) for c in code[a:b]] for a, b in zip(offs, offs[1:])] == [list(t.replace("B", "b")) for t in ts]
 
 
 # language model
