@@ -1,8 +1,9 @@
-"""Benchmark decontamination with a positional inverted index, distributed by document.
+"""Benchmark decontamination with a stored positional inverted index, distributed by document.
 
-Each run of documents is one index shard: it stores the postings (term, position) of every word that also occurs in the
-benchmark. A benchmark window is answered from the shard's shortest posting list: those positions, less the term's
-offset, are candidate starts, intersected with the offset-adjusted lists of the other terms from the rarest up.
+Each run of documents is a shard of the index: the postings (term, positions) of all its words, written as one row of a
+table, which later searches read again. A benchmark window is answered from the shard's shortest posting list: those
+positions, less the term's offset, are candidate starts, intersected with the offset-adjusted posting lists of the other
+terms from the rarest up.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import Scratch
 from .textops import ALNUM, LOWER, chunks, prefix_prints, span_prints, string_column, words
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+#: Text of a shard, and of the benchmark's items that are searched for at once.
+SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,6 +33,38 @@ def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_prints(prefix_prints(low), start, end), np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(offs) - 1))])
 
 
+INDEX = "shard long, doc_id array<long>, key array<string>, words array<long>, terms binary, counts binary, positions binary"
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard: its texts' ids, keys and numbers of words; its terms in order of their prints; how many postings each has; and all positions, by term, counted through the shard."""
+    serial = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        buf, offs = string_column(batch.column("text"))
+        for a, b in chunks(offs, SHARD_BYTES):
+            h, lead = _terms(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            order = np.argsort(h, kind="stable")
+            terms, counts = np.unique(h, return_counts=True)
+            row = lambda x: pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x)  # noqa: B023, E731
+            raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([serial]), row(_whole(batch.column("doc_id").slice(a, b - a))), row(_whole(batch.column("key").slice(a, b - a))), row(pa.array(np.diff(lead))), raw(terms, np.uint64), raw(counts, np.int32), raw(order, np.int32)],
+                ["shard", "doc_id", "key", "words", "terms", "counts", "positions"],
+            )
+            serial += 1
+
+
+def _whole(x: pa.Array) -> pa.Array:
+    """A slice as an array of its own."""
+    return x.take(pa.array(np.arange(len(x))))
+
+
+def build_index(docs: DataFrame, scratch: Scratch, key: Column | None = None) -> DataFrame:
+    """The positional index of all words of ``docs(doc_id, text)``, written and reread: one scan, no shuffle, some 0.8 bytes for each of text before compression. ``key`` is any string kept with each text."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit("") if key is None else key).alias("key"))
+    return scratch.keep(src.mapInArrow(_index, INDEX), "index")
+
+
 def compile_windows(ids: list[str], texts: list[str], width: int) -> dict[str, Any]:
     """The windows of some items: term numbers (-1 pads an item of fewer words than ``width``), lengths, item ids."""
     buf, offs = string_column(pa.array(texts, pa.string()))
@@ -43,37 +80,68 @@ def compile_windows(ids: list[str], texts: list[str], width: int) -> dict[str, A
     return {"vocab": vocab, "term": term, "length": length, "item": item.astype(np.int32), "ids": np.array(ids, object)}
 
 
-def blocks(spark: SparkSession, tests: DataFrame, width: int, block_bytes: int) -> Iterator[Any]:
-    """Broadcast windows of the benchmark, in blocks of whole items of about ``block_bytes`` of text each."""
-    t = tests.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+WINDOWS = "block int, vocab binary, term binary, length binary, item binary, ids array<string>"
+
+
+def _compile(width: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        w = compile_windows(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), width)
+        raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "vocab": raw(w["vocab"], np.uint64), "term": raw(w["term"], np.int32), "length": raw(w["length"], np.int64), "item": raw(w["item"], np.int32), "ids": pa.array([w["ids"].tolist()], pa.list_(pa.string()))})
+
+    return run
+
+
+def blocks(tests: DataFrame, width: int, block_bytes: int, scratch: Scratch) -> Iterator[Any]:
+    """Broadcast windows of the benchmark, in blocks of whole items of about ``block_bytes`` of text each.
+
+    Executors compile the blocks into a table; the driver holds one at a time, and drops it when the next is asked for."""
+    spark = tests.sparkSession
+    t = tests.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
+    table = t.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(_compile(width), WINDOWS)
+    table = scratch.keep(table, "windows")
     for i in range(n):
-        rows = t.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield spark.sparkContext.broadcast(compile_windows(["" if r[0] is None else r[0] for r in rows], [r[1] for r in rows], width))
+        for r in table.where(F.col("block") == i).collect():
+            read = lambda c, kind: np.frombuffer(r[c], kind)  # noqa: B023, E731
+            w = {"vocab": read("vocab", np.uint64), "term": read("term", np.int32).reshape(-1, width), "length": read("length", np.int64), "item": read("item", np.int32), "ids": np.array(r["ids"], object)}
+            held = spark.sparkContext.broadcast(w)
+            yield held
+            held.unpersist()
 
 
 class Shard:
-    """The positional index of some documents over the terms of a benchmark block."""
+    """A shard read from the index, with the windows of a benchmark block."""
 
-    def __init__(self, w: dict[str, Any], buf: np.ndarray, offs: np.ndarray):
+    def __init__(self, w: dict[str, Any], terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, n_words: np.ndarray):
         self.w = w
-        h, self.lead = _terms(buf, offs)
-        vocab = w["vocab"]
-        at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-        known = vocab[at] == h if len(vocab) else np.zeros(len(h), bool)
-        self.tid = np.where(known, at, -1).astype(np.int32)
-        where = np.flatnonzero(known)
-        self.count = np.bincount(self.tid[where], minlength=len(vocab))
-        self.posting = where[np.argsort(self.tid[where], kind="stable")]
-        self.head = np.concatenate([[0], np.cumsum(self.count)])
+        self.lead = np.concatenate([[0], np.cumsum(n_words)])
+        at = np.minimum(np.searchsorted(terms, w["vocab"]), max(len(terms) - 1, 0))
+        here = terms[at] == w["vocab"] if len(terms) else np.zeros(len(w["vocab"]), bool)
+        self.count = np.where(here, counts[at] if len(counts) else 0, 0).astype(np.int64)
+        # the postings of the benchmark's terms, as (term, position) in one sorted number
+        start = np.cumsum(counts, dtype=np.int64) - counts
+        known = np.flatnonzero(here)
+        n = self.count[known]
+        self.head = np.zeros(len(self.count) + 1, np.int64)
+        self.head[1:] = np.cumsum(self.count)
+        self.posting = positions[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at[known]], n)].astype(np.int64)
+        self.size = int(self.lead[-1]) + 1
+        self.keys = np.repeat(known, n) * self.size + self.posting
+
+    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in the posting list of a term."""
+        want = term.astype(np.int64) * self.size + position
+        at = np.minimum(np.searchsorted(self.keys, want), max(len(self.keys) - 1, 0))
+        return (self.keys[at] == want) & (position < self.size) if len(self.keys) else np.zeros(len(want), bool)
 
     def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(window, term order from the rarest, position of the rarest term, text) for windows whose terms all occur here."""
         term = self.w["term"]
         if not len(term) or not len(self.posting):
             z = np.zeros(0, np.int64)
-            return z, np.zeros((0, term.shape[1] if term.ndim == 2 else 1), np.int64), z, z
+            return z, np.zeros((0, term.shape[1]), np.int64), z, z
         freq = np.where(term >= 0, self.count[term], np.iinfo(np.int64).max)
         alive = np.flatnonzero(freq.min(1) > 0)
         order = np.argsort(freq[alive], axis=1, kind="stable")
@@ -94,7 +162,7 @@ class Shard:
                 break
             o = order[:, j]
             want = self.w["term"][win, o]
-            ok = (want < 0) | (self.tid[np.minimum(start + o, len(self.tid) - 1)] == want)
+            ok = (want < 0) | self.holds(want, start + o)
             win, order, start, text = win[ok], order[ok], start[ok], text[ok]
         return win, start, text
 
@@ -103,8 +171,7 @@ class Shard:
 
         From each posting of the rarest term the others are found outwards, each the nearest of its list."""
         win, order, pos, text = self.candidates()
-        size = len(self.tid) + 1
-        keys = self.tid[self.posting].astype(np.int64) * size + self.posting
+        size, keys = self.size, self.keys
         pivot = order[:, 0].copy()
         low, high = pos.copy(), pos.copy()
         ok = np.ones(len(win), bool)
@@ -131,58 +198,68 @@ def _lists(values: np.ndarray | list, counts: np.ndarray, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
+HITS = "shard long, at int, key string, hits array<long>, items array<string>"
+
+
 def _search(block: Any, slop: int | None):
-    """Adds to hits (start and end word, in turn) and items of each text what one block finds."""
+    """Hits (start and end word, in turn) and items of each text of the index in which a block finds any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = block.value
         for batch in batches:
-            col = batch.column("text")
-            buf, offs = string_column(col)
-            for a, b in chunks(offs):
-                shard = Shard(w, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            for row in range(batch.num_rows):
+                read = lambda c, kind: np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
+                n_words = np.asarray(batch.column("words")[row].values)
+                shard = Shard(w, read("terms", np.uint64), read("counts", np.int32), read("positions", np.int32), n_words)
                 if slop is None:
                     win, s, text = shard.phrases()
                     e = s + w["length"][win]
                 else:
                     win, s, e, text = shard.near(slop)
+                if not len(win):
+                    continue
                 base = shard.lead[text]
-                hits = np.unique(np.stack([text, s - base, e - base], 1), axis=0) if len(win) else np.zeros((0, 3), np.int64)
-                pair = np.unique(np.stack([text, w["item"][win]], 1), axis=0) if len(win) else np.zeros((0, 2), np.int64)
-                n = b - a
-                now_h = _lists(hits[:, 1:].ravel(), 2 * np.bincount(hits[:, 0], minlength=n), pa.int64())
-                now_i = _lists(w["ids"][pair[:, 1]].tolist(), np.bincount(pair[:, 0], minlength=n), pa.string())
-                cut = batch.slice(a, n)
+                hits = np.unique(np.stack([text, s - base, e - base], 1), axis=0)
+                pair = np.unique(np.stack([text, w["item"][win]], 1), axis=0)
+                found, n = np.unique(text), len(n_words)
+                key = batch.column("key")[row].values.take(pa.array(found))
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column("doc_id"), cut.column("text"), pa.array(np.diff(shard.lead)), _join(cut.column("hits"), now_h), _join(cut.column("items"), now_i)],
-                    ["doc_id", "text", "n_words", "hits", "items"],
+                    [batch.column("shard").take(pa.array([row] * len(found))), pa.array(found.astype(np.int32)), key, _lists(hits[:, 1:].ravel(), 2 * np.bincount(hits[:, 0], minlength=n)[found], pa.int64()), _lists(w["ids"][pair[:, 1]].tolist(), np.bincount(pair[:, 0], minlength=n)[found], pa.string())],
+                    ["shard", "at", "key", "hits", "items"],
                 )
 
     return run
 
 
-def _join(old: pa.Array, new: pa.ListArray) -> pa.Array:
-    if not len(old.flatten()):
-        return new
-    return pa.array([x + y for x, y in zip(old.to_pylist(), new.to_pylist(), strict=True)], new.type)
+def search_index(index: DataFrame, tests: DataFrame, width: int, slop: int | None, block_bytes: int, scratch: Scratch) -> DataFrame:
+    """``shard, at, key, hits, items`` of every text of the index in which a block of the benchmark finds any: one pass over the index for each block."""
+    found = None
+    for block in blocks(tests, width, block_bytes, scratch):
+        part = scratch.keep(index.mapInArrow(_search(block, slop), HITS), "hits")
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else index.sparkSession.createDataFrame([], HITS)
 
 
-def find_passages(docs: DataFrame, tests: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Benchmark windows in documents: ``doc_id, text, n_words, hits, items``, one row for each input row.
+def find_passages(docs: DataFrame, tests: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """Benchmark windows in documents: ``doc_id, n_words, hits, items``, one row for each input row.
 
     Words are runs of bytes other than the ASCII signs, A-Z lowered. A window is ``width`` consecutive words of an item,
     or all of a shorter item; an item without words has none. ``hits`` lists start and end (exclusive) word of every
     occurrence in turn, ``items`` the ids found, as strings, '' for a null id, an item met in several blocks again.
     ``slop`` None asks for exact phrases, a number for proximity: the window's words in order with up to so many others
-    among them. Null texts have no words; other columns are ignored; empty tables give no rows or no hits.
+    among them. Null texts have no words; repeated rows repeat; a text of any length is indexed whole; other columns are
+    ignored; empty tables give no rows or no hits.
 
-    Scale: no shuffle. Documents are read once and each shard of about 1 MB of text is indexed and dropped. The
-    benchmark goes out in blocks of bounded size, each another map over the same rows.
+    Scale: documents are read once into the index, each shard of about 2 MB of text a row. The benchmark goes out in
+    blocks of bounded size, one after the other. Only ids, counts and hits meet in a join, by row.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for block in blocks(docs.sparkSession, tests, width, block_bytes):
-        out = out.mapInArrow(_search(block, slop), "doc_id long, text string, n_words long, hits array<long>, items array<string>")
-    return out
+    scratch = scratch or Scratch(docs.sparkSession, "passages")
+    index = build_index(docs, scratch)
+    found = search_index(index, tests, width, slop, block_bytes, scratch)
+    found = found.groupBy("shard", "at").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "words"))).select("shard", F.col("pos").alias("at"), F.col("col.doc_id").alias("doc_id"), F.col("col.words").alias("n_words"))
+    out = rows.join(found, ["shard", "at"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<long>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,26 +282,20 @@ def contamination(docs: DataFrame, tests: DataFrame, width: int = WINDOW, block_
     ``n_hit`` counts words inside any exact occurrence of a window, overlaps once; ``items_sha256`` is of the distinct
     ids, sorted as strings and joined by commas (of '' if none). Rows and edge cases are those of ``find_passages``.
     """
-    found = find_passages(docs, tests, width, None, block_bytes).select("doc_id", "n_words", "hits", "items")
+    found = find_passages(docs, tests, width, None, block_bytes)
     found = found.mapInArrow(_cover, "doc_id long, n_words long, n_hit long, items array<string>")
     items = F.array_sort(F.array_distinct("items"))
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, tests: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text holds no window of any item. One scan, no shuffle."""
-
-    def search(block: Any):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buf, offs = string_column(batch.column("text"))
-                clean = np.ones(batch.num_rows, bool)
-                for a, b in chunks(offs):
-                    clean[a + Shard(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]).phrases()[2]] = False
-                yield batch.filter(pa.array(clean))
-
-        return run
+def keep_clean(docs: DataFrame, tests: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text holds no window of any item.
 
-    for block in blocks(docs.sparkSession, tests, width, block_bytes):
-        docs = docs.mapInArrow(search(block), docs.schema)
-    return docs
+    The texts found, by digest, are taken out with an anti join. Null texts stay, repeated rows stay or go together."""
+    scratch = scratch or Scratch(docs.sparkSession, "clean")
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    key = "digest"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    dirty = search_index(build_index(docs, scratch, digest), tests, width, None, block_bytes, scratch).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, digest).join(dirty, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,7 +1,11 @@
 import hashlib
 import re
 
-from corpuscle.llm.decontaminate import contamination, find_passages, keep_clean
+import numpy as np
+
+from corpuscle.llm import decontaminate
+from corpuscle.llm.decontaminate import build_index, contamination, find_passages, keep_clean
+from corpuscle.llm.scratch import Scratch
 
 from .cases import empty, frame, texts
 
@@ -61,6 +65,48 @@ def test_proximity_allows_words_between(spark):
     assert near(None) == [4] and near(0) == [4] and near(1) == [1, 4] and near(2) == [1, 2, 4]
 
 
+def test_index_is_stored_and_holds_every_posting(spark):
+    docs = frame(spark, texts()).repartition(2)
+    index = build_index(docs, Scratch(spark, "test"))
+    got = {}
+    for r in index.collect():
+        terms, counts, positions = np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, np.int32), np.frombuffer(r.positions, np.int32)
+        assert (np.diff(terms.astype(object)) > 0).all() and counts.sum() == len(positions) == sum(r.words)
+        at = np.empty(len(positions), np.uint64)
+        at[positions] = np.repeat(terms, counts)
+        ends = np.cumsum(r.words)
+        for i, n, e in zip(r.doc_id, r.words, ends):
+            got.setdefault(i, []).append(tuple(at[e - n : e].tolist()))
+    words_of = {i: sorted(len(split(t)) for j, t in texts() if j == i) for i, _ in texts()}
+    assert {i: sorted(len(x) for x in v) for i, v in got.items()} == words_of
+    number = {}
+    for i, t in texts():
+        for w, h in zip(split(t), next(x for x in got[i] if len(x) == len(split(t)))):
+            assert number.setdefault(w, h) == h
+    assert len(set(number.values())) == len(number)
+
+
+def test_larger_benchmarks_go_block_by_block(spark):
+    """Fifty times the items in many blocks: the same hits, one broadcast at a time."""
+    live = []
+
+    def opened(*args):
+        for held in real(*args):
+            live.append(len(held.value["term"]))
+            yield held
+
+    real = decontaminate.blocks
+    decontaminate.blocks = opened
+    try:
+        more = [(1000 + i, " ".join(f"x{i}y{j}" for j in range(15))) for i in range(400)] + items()
+        tests = spark.createDataFrame(more, "item_id long, text string")
+        out = contamination(frame(spark, texts()), tests, block_bytes=4000).collect()
+    finally:
+        decontaminate.blocks = real
+    assert sorted((tuple(r) for r in out), key=str) == brute(texts())
+    assert len(live) > 5 and max(live) < sum(live) / 3
+
+
 def test_empty_tables(spark):
     assert contamination(empty(spark), bench_items(spark)).count() == 0
     out = contamination(frame(spark, texts()), bench_items(spark).limit(0)).collect()
