@@ -1,14 +1,14 @@
 """Removal of repeated byte strings by bucket-pointer refinement of a suffix array, distributed by bucket.
 
-Suffixes that share their first q bytes are one bucket. A bucket is refined by the buckets that its suffixes reach at
-later offsets: the pair of bucket identifiers at p and p + h names the bucket of p at depth q + h, and refined
-identifiers are used again for the next, deeper step (20, 40, 80 and 100 bytes). Identifiers are fingerprints of what
-the bucket's suffixes start with, so executors agree on them without a global rank, and a sort by identifier puts a
-bucket's suffixes side by side. Buckets of one suffix are dropped before the next refinement.
-
-Only the buckets at depth 40 that a window of 100 bytes can't avoid are sorted: those of its minimizer, the smallest
-identifier at depth 40 inside the window. Equal windows have equal minimizers, so no repeat is lost, and some three
-suffixes in a hundred are moved between executors. Depth 100 is then decided inside the surviving buckets.
+Suffixes that share their first 40 bytes are one initial bucket, named by a fingerprint (of the prints of the 20-grams at
+its two halves), so that executors agree on it without a global rank. A distributed sort by the name puts a bucket's suffixes side by side, and buckets of
+one suffix are dropped. Inside the others a bucket is refined by sorting its suffixes on the bucket numbers that they
+reach at later offsets: the numbers at p and p + 40 give those of depth 80, and these, as updated, at p and p + 20 those
+of depth 100. Only a bucket too large for one task names its deeper buckets by fingerprints of the pair instead.
+
+Only the initial buckets that a window of 100 bytes can't avoid are sorted: those of its minimizer, the smallest name
+inside the window. Equal windows have equal minimizers, so no repeat is lost, and some three suffixes in a hundred are
+moved between executors.
 """
 
 from __future__ import annotations
@@ -33,20 +33,42 @@ _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def bucket_ids(buf: np.ndarray, depth: int) -> np.ndarray:
-    """The bucket identifier at ``depth`` of every suffix that is that long."""
+    """The bucket's name at ``depth`` of every suffix that is that long, without any sorting: a fingerprint of its q-gram, or of the names at two offsets."""
     n = max(0, len(buf) - DEPTHS[0] + 1)
     ids = span_prints(prefix_prints(buf), np.arange(n), np.arange(n) + DEPTHS[0])
-    at = DEPTHS[0]
-    for nxt in DEPTHS[1:]:
+    for at, nxt in zip(DEPTHS, DEPTHS[1:]):
         if at >= depth:
             break
         h = nxt - at  # the later offset: its bucket, as deep as this one, ends where the refined bucket ends
         with np.errstate(over="ignore"):
             ids = mix(ids[: max(0, len(ids) - h)] * _PAIR + ids[h:])
-        at = nxt
     return ids
 
 
+def refine(buf: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The number of the bucket at depth 100 of the ``n`` suffixes from each place ``first`` on.
+
+    Each round sorts suffixes on (bucket, bucket at the later offset) and numbers the groups afresh; the next round
+    reads these numbers."""
+    reach = lambda more: (np.repeat(first, n + more) + _steps(n + more)) if len(n) else first
+    names = bucket_ids(buf, GRAM)
+    bucket = np.zeros(len(names), np.int64)
+    here = reach(LENGTH - GRAM)
+    bucket[here] = np.unique(names[here], return_inverse=True)[1]
+    for at, nxt in zip(DEPTHS[1:], DEPTHS[2:]):
+        here = reach(LENGTH - nxt)
+        pointer = bucket[here] * (len(names) + 1) + bucket[here + nxt - at]
+        refined = np.unique(pointer, return_inverse=True)[1]
+        bucket = np.zeros(len(names), np.int64)
+        bucket[here] = refined
+    return bucket[here] if len(here) else np.zeros(0, np.int64)
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of ``n``."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(identifier, text, first window in the text, windows) of every run of windows of one text that share their minimizer, the leftmost smallest identifier."""
     z = np.zeros(0, np.int64)
@@ -165,28 +187,23 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[pick])), pa.array(doc[pick]), pa.array(s[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(context, pa.binary())], ["h", "doc_id", "s", "n", "context"])
 
 
-def _windows(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(h, depth-100 identifier, text, window) of every window of some contexts."""
+def _windows(rows: pa.Table | pa.RecordBatch, sort: bool) -> tuple[np.ndarray, ...]:
+    """(h, bucket at depth 100, text, window) of every window of some contexts: a number got by sorting, which holds among these rows, or a name."""
     buf, offs = string_column(rows.column("context"))
     n = np.asarray(rows.column("n")).astype(np.int64)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    deep = bucket_ids(buf, LENGTH)[np.repeat(offs[:-1], n) + at]
+    at = _steps(n)
+    deep = refine(buf, offs[:-1], n) if sort else bucket_ids(buf, LENGTH)[np.repeat(offs[:-1], n) + at]
     h, doc, s = (np.repeat(np.asarray(rows.column(c)).astype(np.int64), n) for c in ("h", "doc_id", "s"))
     return h, deep, doc, s + at
 
 
 def _sorted_repeats(h: np.ndarray, deep: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, whether each place in it is not the first of its string): sorts the suffixes of buckets by their deeper identifiers."""
-    order = np.lexsort((s, doc, deep, h))
-    later = np.zeros(len(order), bool)
-    x = order
-    later[1:] = (deep[x[1:]] == deep[x[:-1]]) & (h[x[1:]] == h[x[:-1]]) & ((doc[x[1:]] != doc[x[:-1]]) | (s[x[1:]] != s[x[:-1]]))
-    # rows of one place (repeated rows of an id) are no repeats of each other; what follows a later place is later
-    same_place = np.zeros(len(order), bool)
-    same_place[1:] = (deep[x[1:]] == deep[x[:-1]]) & (h[x[1:]] == h[x[:-1]]) & ~later[1:]
-    for i in np.flatnonzero(same_place):
-        later[i] = later[i - 1]
-    return order, later
+    """(order, whether each place in it is not the first of its string). Rows of one place (repeated rows of an id) are no repeats of each other."""
+    x = np.lexsort((s, doc, deep, h))
+    new = np.ones(len(x), bool)
+    new[1:] = (deep[x[1:]] != deep[x[:-1]]) | (h[x[1:]] != h[x[:-1]])
+    lead = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
+    return x, (doc[x] != doc[lead]) | (s[x] != s[lead])
 
 
 def _found(doc: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
@@ -199,7 +216,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Refine whole buckets, of rows sorted by bucket, to depth 100; at most one bucket and one batch are held."""
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        h, deep, doc, s = _windows(rows)
+        h, deep, doc, s = _windows(rows, True)
         order, later = _sorted_repeats(h, deep, doc, s)
         return _found(doc[order[later]], s[order[later]])
 
@@ -223,7 +240,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of hot buckets as a row, and none twice in a batch."""
     for batch in batches:
-        h, deep, doc, s = _windows(batch)
+        h, deep, doc, s = _windows(batch, False)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(signed(deep)), pa.array(doc), pa.array(s)], ["h", "deep", "doc_id", "s"])
 
 

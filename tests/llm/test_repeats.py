@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from corpuscle.llm.repeats import LENGTH, bucket_ids, keep_first_strings, remove_repeats
+from corpuscle.llm.repeats import LENGTH, bucket_ids, keep_first_strings, refine, remove_repeats
 
 from .cases import empty, frame, prose, texts
 
@@ -70,3 +70,17 @@ def test_bucket_ids_name_strings():
         strings = [text[i : i + depth].tobytes() for i in range(len(text) - depth + 1)]
         assert len(ids) == len(strings)
         assert len(set(ids.tolist())) == len(set(strings)) == len(set(zip(ids.tolist(), strings)))
+
+
+def test_refinement_by_sorting_tells_strings_apart():
+    """Bucket numbers at depth 100 of runs of suffixes in several contexts: equal for equal strings and for no others."""
+    rng = random.Random(2)
+    part = bytes(rng.choice(b"ab") for _ in range(30))
+    contexts = [(part * 9)[i : i + 99 + n] for i, n in ((0, 5), (3, 1), (7, 40), (0, 61), (30, 5))] + [bytes(rng.choice(b"ab") for _ in range(130))]
+    buf = np.frombuffer(b"".join(contexts), np.uint8)
+    first = np.cumsum([0] + [len(c) for c in contexts[:-1]])
+    n = np.array([len(c) - 99 for c in contexts])
+    got = refine(buf, first, n)
+    want = [c[i : i + 100] for c, k in zip(contexts, n) for i in range(k)]
+    assert len(got) == len(want) and len(set(got.tolist())) == len(set(want)) == len(set(zip(got.tolist(), want)))
+    assert len(refine(buf, first[:0], n[:0])) == 0
