@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -43,21 +44,74 @@ def _clean_title(raw: str) -> str:
     return title[:1].replace("_", " ").upper() + rest
 
 
-def _matching(text: str, at: int, opening: str, closing: str) -> int:
-    """The end of a balanced pair that opens at ``at``, -1 if it isn't closed."""
-    depth, n, k = 0, len(text), len(opening)
-    while at < n:
-        if text.startswith(opening, at):
-            depth += 1
-            at += k
-        elif text.startswith(closing, at):
-            depth -= 1
-            at += len(closing)
-            if not depth:
-                return at
-        else:
-            at += 1
-    return -1
+class _Pairs:
+    """Where balanced pairs that open in a text end, each kind found in one pass with a stack when first asked for.
+
+    In a run of one sign the pairs of signs are counted from its inner end: from its right end for openings, from its left
+    one for closings."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: dict[str, dict[int, int]] = {}
+        self.run = (0, 0)
+        self.tags: dict[str, tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]] = {}
+
+    def end(self, at: int, opening: str, closing: str) -> int:
+        """The end of the pair that opens at ``at``, -1 if it isn't closed."""
+        if opening not in self.ends:
+            self.ends[opening] = self._scan(opening, closing)
+        if opening[0] == opening[1]:  # a place off by one in a run stands for the opening as far from the run's end
+            if not self.run[0] <= at < self.run[1]:
+                stop = at
+                while self.text.startswith(opening[0], stop):
+                    stop += 1
+                self.run = (at, stop)
+            stop = self.run[1]
+            at = stop - 2 * ((stop - at) // 2)
+        return self.ends[opening].get(at, -1)
+
+    def _scan(self, opening: str, closing: str) -> dict[int, int]:
+        found: dict[int, int] = {}
+        stack: list[int] = []
+        same = opening[0] == opening[1]
+        more = "+" if same else ""
+        for m in re.finditer(f"{re.escape(opening)}{'(?:' + re.escape(opening[0]) + ')*' if same else ''}|{re.escape(closing)}{more and '(?:' + re.escape(closing[0]) + ')*'}", self.text):
+            a, b = m.span()
+            if m.group().startswith(opening):
+                stack.extend(range(b - 2 * ((b - a) // 2), b, 2) if same else [a])
+            else:
+                for end in range(a + 2, b + 1, 2):
+                    if stack:
+                        found[stack.pop()] = end
+        return found
+
+
+    def element(self, name: str, at: int, nests: bool) -> tuple[int, int] | None:
+        """Where the closing tag begins and ends of the element whose opening tag ends at ``at``; None if it isn't closed. In one that doesn't nest, the next closing tag counts."""
+        closings, partner = self._elements(name)
+        if nests:
+            return partner.get(at)
+        i = bisect_left(closings, (at, at))
+        return closings[i] if i < len(closings) else None
+
+    def closes_after(self, name: str, at: int) -> bool:
+        closings, _ = self._elements(name)
+        return bool(closings) and closings[-1][0] >= at
+
+    def _elements(self, name: str) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
+        if name not in self.tags:
+            closings: list[tuple[int, int]] = []
+            partner: dict[int, tuple[int, int]] = {}
+            stack: list[int] = []
+            for m in re.finditer(rf"<(/?){re.escape(name)}\b(?:[^<>]*?)(/?)>", self.text, re.I):
+                if m.group(1):
+                    closings.append(m.span())
+                    if stack:
+                        partner[stack.pop()] = m.span()
+                elif not m.group(2):
+                    stack.append(m.end())
+            self.tags[name] = closings, partner
+        return self.tags[name]
 
 
 def _split_top(body: str) -> list[str]:
@@ -97,6 +151,8 @@ def _pieces(text: str, media: re.Pattern | None, category: re.Pattern | None, ho
             plain.clear()
 
     i, n = 0, len(text)
+    pairs = _Pairs(text)
+    close = line = -1  # the next ] and line end, looked up again once passed
     while i < n:
         c = text[i]
         if c == "<":
@@ -113,39 +169,29 @@ def _pieces(text: str, media: re.Pattern | None, category: re.Pattern | None, ho
                     if name == "br":
                         plain.append("\n")
                     continue
-                end = re.compile(rf"</{name}\s*>", re.I)
                 if name in _RAW or name in _INVISIBLE:
-                    depth, at = 1, i
-                    again = re.compile(rf"<(/?){name}\b(?:[^<>]*?)(/?)>", re.I)
-                    stop = None
-                    while depth:
-                        t = again.search(text, at)
-                        if not t:
-                            break
-                        depth += -1 if t.group(1) else (0 if t.group(2) or name in _RAW else 1)
-                        at, stop = t.end(), t
-                    inner = text[i : stop.start()] if stop and not depth else ""
+                    stop = pairs.element(name, i, name not in _RAW)
                     if name in ("nowiki", "pre"):
-                        plain.append(inner)
-                    if stop and not depth:
-                        i = at
-                    elif name == "ref":
-                        i = n if not end.search(text, i) else i
+                        plain.append(text[i : stop[0]] if stop else "")
+                    if stop:
+                        i = stop[1]
+                    elif name == "ref" and not pairs.closes_after(name, i):
+                        i = n
                 continue
         elif c == "{":
             if text.startswith("{{", i):
-                end = _matching(text, i, "{{", "}}")
+                end = pairs.end(i, "{{", "}}")
                 if end > 0:
                     i = end
                     continue
             elif text.startswith("{|", i):
-                end = _matching(text, i, "{|", "|}")
+                end = pairs.end(i, "{|", "|}")
                 if end > 0:
                     i = end
                     continue
         elif c == "[":
             if text.startswith("[[", i):
-                end = _matching(text, i, "[[", "]]")
+                end = pairs.end(i, "[[", "]]")
                 if end > 0:
                     parts = _split_top(text[i + 2 : end - 2])
                     target = parts[0]
@@ -162,7 +208,11 @@ def _pieces(text: str, media: re.Pattern | None, category: re.Pattern | None, ho
                     out.append((title, shown) if title else shown)
                     continue
             else:
-                m = _URL.match(text, i)
+                if close < i:
+                    close = text.find("]", i) % (n + 1)  # n where there is none
+                if line < i:
+                    line = text.find("\n", i) % (n + 1)
+                m = _URL.match(text, i) if close < line else None
                 if m:
                     plain.append(_plain(m.group(2)) if m.group(2) else "")
                     i = m.end()

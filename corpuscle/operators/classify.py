@@ -75,7 +75,13 @@ class Naboe:
         return (scores, z, a, ev, cos, n) if cache else scores
 
     def step(self, word_ids, entity_ids, priors, labels, adam: AdamW) -> float:
-        """One AdamW step on a batch; norms in the cosine are constants of the gradient."""
+        """One AdamW step on a batch; returns the loss before it."""
+        value, grads = self.gradients(word_ids, entity_ids, priors, labels)
+        adam.update(self, grads)
+        return value
+
+    def gradients(self, word_ids, entity_ids, priors, labels) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss of a batch and its exact gradient, but for the padding rows, which stay zero."""
         scores, z, a, ev, cos, n = self.forward(word_ids, entity_ids, priors, cache=True)
         p = np.exp(scores - scores.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -94,12 +100,13 @@ class Naboe:
         tn = np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
         en = np.maximum(np.linalg.norm(ev, axis=2, keepdims=True), 1e-12)
         dcos = dl * self.attention[1]
-        np.add.at(g_ent, entity_ids, dcos[:, :, None] * (total / tn)[:, None, :] / en)
-        dt = np.einsum("nk,nkd->nd", dcos, ev / en) / tn + (dz / n if self.use_word else 0)
+        # a cosine moves with a vector only across that vector's direction
+        t, e = total / tn, ev / en
+        np.add.at(g_ent, entity_ids, dcos[:, :, None] * (t[:, None, :] - cos[:, :, None] * e) / en)
+        dt = (np.einsum("nk,nkd->nd", dcos, e) - (dcos * cos).sum(1, keepdims=True) * t) / tn + (dz / n if self.use_word else 0)
         np.add.at(g_word, word_ids, np.broadcast_to(dt[:, None, :], (*word_ids.shape, dt.shape[1])))
         g_word[0] = g_ent[0] = 0
-        adam.update(self, {"words": g_word, "entities": g_ent, "attention": np.array([(dl * priors).sum(), (dl * cos).sum()]), "bias": np.array(dl.sum()), "out_w": d.T @ z, "out_b": d.sum(0)})
-        return value
+        return value, {"words": g_word, "entities": g_ent, "attention": np.array([(dl * priors).sum(), (dl * cos).sum()]), "bias": np.array(dl.sum()), "out_w": d.T @ z, "out_b": d.sum(0)}
 
 
 class AdamW:

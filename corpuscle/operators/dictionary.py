@@ -67,18 +67,39 @@ def filter_entities(counts: DataFrame, disambiguations: DataFrame | None, langua
     return out
 
 
-def dense_index(df: DataFrame, order: str, start: int | Column = 0, name: str = "idx") -> DataFrame:
-    """Number rows from ``start`` in the order of a unique column, without one task seeing them all.
-
-    Rows are range-partitioned and sorted; each partition numbers its own and adds the sizes of those before it. The
-    partitioning is checkpointed, so the sizes and the numbers are of the same one."""
-    placed = cut(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").count()
-    lead = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("_part").alias("_p"), lead.alias("_lead"))
+def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, with ``_part`` and their place in it, ``_at``. The partitioning is checkpointed, so whatever is computed from it is of the same one."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def _before(placed: DataFrame, total: Column) -> DataFrame:
+    """``_p, _lead``: a total over the partitions before each; one row a partition, so it is broadcast."""
+    lead = F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.broadcast(placed.groupBy("_part").agg(total.alias("_total")).select(F.col("_part").alias("_p"), lead.alias("_lead")))
+
+
+def number_rows(df: DataFrame, order: list[str], start: int | Column = 0, name: str = "idx", kind: str = "long") -> DataFrame:
+    """Number rows from ``start`` in the order of some columns, unique together, without one task seeing them all.
+
+    Each partition of a range partitioning numbers its own rows and adds the sizes of those before it."""
+    placed = _in_ranges(df, order)
     first = start if isinstance(start, Column) else F.lit(start)
-    return placed.join(F.broadcast(sizes), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_at") + F.col("_lead") + first).cast("int")).drop("_at", "_part", "_p", "_lead")
+    out = placed.join(_before(placed, F.count("*")), F.col("_part") == F.col("_p"))
+    return out.withColumn(name, (F.col("_at") + F.col("_lead") + first).cast(kind)).drop("_at", "_part", "_p", "_lead")
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in the order of some columns, partition by partition of their ranges."""
+    placed = _in_ranges(df, order)
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy("_at"))
+    out = placed.withColumn("_own", own).join(_before(placed, F.sum(value)), F.col("_part") == F.col("_p"))
+    return out.withColumn(name, F.col("_own") + F.col("_lead")).drop("_at", "_part", "_p", "_lead", "_own")
+
+
+def dense_index(df: DataFrame, order: str, start: int | Column = 0, name: str = "idx") -> DataFrame:
+    """Number rows from ``start`` in the order of a unique column."""
+    return number_rows(df, [order], start, name, "int")
 
 
 @dataclass

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .vectors import cosine
+from .vectors import cosine, in_grid
 
 #: The seeds of the relatedness set by kind; the mean over seeds doesn't depend on it.
 SEED_KINDS: dict[str, list[str]] = {
@@ -57,47 +55,35 @@ def analogy_vocabulary(words: DataFrame, size: int | None = None) -> DataFrame:
     return out.withColumn("u", F.when(length > 0, F.transform(F.col("syn0").cast("array<double>"), lambda x: x / length)))
 
 
-def analogies(questions: DataFrame, vocabulary: DataFrame, block: int = 1000) -> DataFrame:
+def analogies(questions: DataFrame, vocabulary: DataFrame, block: int = 1000, word_block: int = 16384) -> DataFrame:
     """``questions(qid, a, b, c, d)`` answered with the word of largest dot product with b - a + c, none of a, b, c: adds ``pred``.
 
-    Questions with an unknown word are left out. They go out in blocks; each partition of the vocabulary answers a block
-    with its best word a question, and the best of those wins, ties to the smaller word."""
+    Questions with an unknown word are left out. Each block of questions meets each block of the vocabulary in a task of
+    its own, which answers with its best word a question, and the best of those wins, ties to the smaller word."""
     known = questions
     for k in "abcd":
         known = known.join(vocabulary.select(F.col("name").alias(f"_{k}"), F.col("u").alias(f"u{k}")), F.col(k) == F.col(f"_{k}")).drop(f"_{k}")
     known = known.select("qid", "a", "b", "c", "d", F.zip_with(F.zip_with("ub", "ua", lambda x, y: x - y), "uc", lambda x, y: x + y).alias("target"))
-    spark = questions.sparkSession
-    n_blocks = max(1, -(-questions.count() // block))
-    best = None
-    for i in range(n_blocks):
-        part = known.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == i).select("qid", "a", "b", "c", "target").toPandas()
-        held = spark.sparkContext.broadcast(part)
-
-        def answer(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q = held.value
-            if not len(q):
-                return
-            t = np.array(q["target"].tolist(), float)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                pdf = pdf.sort_values("name", kind="stable")
-                names = pdf["name"].to_numpy()
-                s = t @ np.array(pdf["u"].tolist(), float).T
-                place = {w: j for j, w in enumerate(names)}
-                for r, words in enumerate(zip(q["a"], q["b"], q["c"], strict=True)):
-                    for w in words:
-                        if w in place:
-                            s[r, place[w]] = -np.inf
-                top = s.argmax(1)
-                score = s[np.arange(len(q)), top]
-                ok = np.isfinite(score)
-                yield pd.DataFrame({"qid": q["qid"][ok], "pred": names[top][ok], "score": score[ok]})
-
-        found = vocabulary.where("u is not null").select("name", "u").mapInPandas(answer, "qid long, pred string, score double")
-        best = found if best is None else best.unionByName(found)
+
+    def answer(q: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(words):
+            return pd.DataFrame({"qid": [], "pred": [], "score": []})
+        words = words.sort_values("name", kind="stable")
+        names = words["name"].to_numpy()
+        s = np.array(q["target"].tolist(), float) @ np.array(words["u"].tolist(), float).T
+        place = pd.Index(names)
+        for k in "abc":
+            at = place.get_indexer(q[k])
+            s[np.flatnonzero(at >= 0), at[at >= 0]] = -np.inf
+        top = s.argmax(1)
+        score = s[np.arange(len(q)), top]
+        ok = np.isfinite(score)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[ok], "pred": names[top][ok], "score": score[ok]})
+
+    rows = vocabulary.where("u is not null").select("name", "u")
+    found = in_grid(known.select("qid", "a", "b", "c", "target"), rows, block, word_block, "qid", "name").applyInPandas(answer, "qid long, pred string, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "pred")
-    best = best.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "pred")
+    best = found.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "pred")
     return known.drop("target").join(best, "qid", "left")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..params import TrainParams, as_dict
 from ..plans.lineage import cut
-from .dictionary import Dictionary
+from .dictionary import Dictionary, number_rows, running_sum
 from .graph import LinkGraph
 from .mentions import MentionDB, page_entities
 from .vectors import Embedding
@@ -48,7 +48,7 @@ def negative_distribution(items: DataFrame, power: float) -> DataFrame:
     w = F.lit(1.0) if power == 0 else F.pow(F.col("count").cast("double"), F.lit(power))
     total = items.agg(F.sum(w).alias("_total"))  # one row
     out = items.select("idx", w.alias("_w")).join(F.broadcast(total), F.lit(True)).select("idx", (F.col("_w") / F.col("_total")).alias("share"))
-    return out.withColumn("upper", F.sum("share").over(Window.orderBy("idx")))
+    return running_sum(out, ["idx"], "share", "upper")
 
 
 def sigmoid_table(size: int = 1000) -> np.ndarray:
@@ -57,9 +57,8 @@ def sigmoid_table(size: int = 1000) -> np.ndarray:
 
 def alpha_schedule(pages: DataFrame, order: Column, n_pages: int, params: TrainParams, iteration: int = 0, by: str = "title") -> DataFrame:
     """Adds ``n`` (how many pages came before, over all iterations) and ``alpha``."""
-    n = F.row_number().over(Window.orderBy(order, by)) - 1 + F.lit(iteration * n_pages)
     alpha = F.greatest(F.lit(params.min_alpha), F.lit(params.init_alpha) * (1 - F.col("n") / F.lit(float(n_pages * params.iteration))))
-    return pages.withColumn("n", n).withColumn("alpha", alpha)
+    return number_rows(pages.withColumn("_order", order), ["_order", by], iteration * n_pages, "n").drop("_order").withColumn("alpha", alpha)
 
 
 def link_schedule(entities: DataFrame, n_pages: int, params: TrainParams, order: Column | None = None) -> DataFrame:
@@ -70,8 +69,9 @@ def link_schedule(entities: DataFrame, n_pages: int, params: TrainParams, order:
         return entities.select(F.lit(0).alias("step"), "idx").where("false")
     turns = entities.select("idx", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
     key = F.xxhash64(F.lit(params.seed), "turn", "idx") if order is None else order
-    at = F.row_number().over(Window.partitionBy("turn").orderBy(key, "idx")) - 1 + F.col("turn") * n
-    return turns.select(F.floor(at / params.entities_per_page).cast("long").alias("step"), "idx")
+    # every turn holds all entities, so a number over all turns in order is the place in them laid end to end
+    placed = number_rows(turns.withColumn("_key", key), ["turn", "_key", "idx"], name="_n")
+    return placed.select(F.floor(F.col("_n") / params.entities_per_page).cast("long").alias("step"), "idx")
 
 
 def graph_pairs(schedule: DataFrame, edges: DataFrame) -> DataFrame:
@@ -251,12 +251,29 @@ def _learn(held: Any, negative: int, seed: int, batch: int = 256):
                 met1[np.concatenate([y, neg.ravel()])] = True
         for which, met, new, old in ((0, met0, syn0, start0), (1, met1, syn1, start1)):
             idx = np.flatnonzero(met)
-            if len(idx):
-                yield pd.DataFrame({"which": which, "idx": idx, "delta": list((new[idx] - old[idx]).astype(np.float32))})
+            for i in np.split(idx, np.flatnonzero(np.diff(idx // ROWS)) + 1) if len(idx) else ():
+                yield pd.DataFrame({"which": [which], "block": [i[0] // ROWS], "idx": [i.astype(np.int64).tobytes()], "met": [np.ones(len(i), np.int64).tobytes()], "delta": [(new[i] - old[i]).astype(np.float64).tobytes()]})
 
     return run
 
 
+#: Rows of a block in which changes travel.
+ROWS = 1024
+CHANGES = "which int, block long, idx binary, met binary, delta binary"
+
+
+def _sum_changes(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    """The changes of one block of rows, summed over partitions, with how many partitions met each row."""
+    read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in parts.column(c)]
+    idx, inverse = np.unique(np.concatenate(read("idx", np.int64)), return_inverse=True)
+    met = np.bincount(inverse, np.concatenate(read("met", np.int64)), len(idx)).astype(np.int64)
+    delta = np.concatenate(read("delta", np.float64)).reshape(len(inverse), -1)
+    order = np.argsort(inverse, kind="stable")
+    total = np.add.reduceat(delta[order], np.searchsorted(inverse[order], np.arange(len(idx))), axis=0)
+    raw = lambda x: pa.array([x.tobytes()], pa.binary())
+    return pa.table({"which": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "idx": raw(idx), "met": raw(met), "delta": raw(total)})
+
+
 def all_pairs(paragraphs: DataFrame, links: DataFrame, dictionary: Dictionary, graph: LinkGraph | None, mentions: MentionDB | None, params: TrainParams, iteration: int, keys: list[str], sentences: DataFrame | None = None) -> DataFrame:
     """``src, dst, alpha, key`` of one iteration: link graph, words and anchors, each pair with its page's learning rate."""
     page = keys[0]
@@ -291,12 +308,15 @@ def all_pairs(paragraphs: DataFrame, links: DataFrame, dictionary: Dictionary, g
     return out
 
 
-def train(paragraphs: DataFrame, links: DataFrame, dictionary: Dictionary, graph: LinkGraph | None = None, mentions: MentionDB | None = None, params: TrainParams = TrainParams(), keys: list[str] | None = None, sentences: DataFrame | None = None, partitions: int = 8) -> Embedding:
-    """Train all vectors. ``params.rounds`` splits an iteration, so that partitions meet more often.
+def train(paragraphs: DataFrame, links: DataFrame, dictionary: Dictionary, graph: LinkGraph | None = None, mentions: MentionDB | None = None, params: TrainParams = TrainParams(), keys: list[str] | None = None, sentences: DataFrame | None = None, partitions: int | None = None) -> Embedding:
+    """Train all vectors. ``params.rounds`` splits an iteration, so that partitions meet more often; there are as many
+    ``partitions`` as the session has cores, unless given.
 
-    The weights live on the driver and go out with each round: this is for dictionaries whose two matrices fit there."""
+    The weights live on the driver and go out with each round: this is for dictionaries whose two matrices fit there.
+    Changes come back in blocks of ROWS rows, averaged on the executors over the partitions that met a row."""
     keys = keys or ["title", "para_no"]
     spark = paragraphs.sparkSession
+    partitions = partitions or spark.sparkContext.defaultParallelism
     n, offset = len(dictionary), dictionary.entity_offset
     syn0, syn1 = init_weights(n, params.dim_size, params.seed)
     cdf = lambda items, power: np.cumsum([r["share"] for r in negative_distribution(items, power).orderBy("idx").select("share").collect()])
@@ -308,11 +328,11 @@ def train(paragraphs: DataFrame, links: DataFrame, dictionary: Dictionary, graph
             part = pairs.where(F.pmod(F.xxhash64("key"), F.lit(params.rounds)) == r)
             part = part.withColumn("_p", F.pmod(F.xxhash64("key", F.lit(iteration)), F.lit(partitions))).repartition(partitions, "_p").sortWithinPartitions("key", "src", "dst").drop("_p")
             held = spark.sparkContext.broadcast((syn0, syn1, word_cdf, entity_cdf, offset))
-            deltas = part.mapInPandas(_learn(held, params.negative, params.seed), "which int, idx int, delta array<float>")
-            flat = deltas.select("which", "idx", F.posexplode("delta").alias("d", "v")).groupBy("which", "idx", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
-            mean = flat.groupBy("which", "idx").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("x"))
-            for row in mean.select("which", "idx", F.transform("x", lambda s: s["v"].cast("float")).alias("x")).toLocalIterator():
-                (syn0 if row[0] == 0 else syn1)[row[1]] += np.array(row[2], np.float32)
+            changes = part.mapInPandas(_learn(held, params.negative, params.seed), CHANGES).groupBy("which", "block").applyInArrow(_sum_changes, CHANGES)
+            for row in changes.toLocalIterator():
+                idx = np.frombuffer(row["idx"], np.int64)
+                mean = np.frombuffer(row["delta"], np.float64).reshape(len(idx), -1) / np.frombuffer(row["met"], np.int64)[:, None]
+                (syn0 if row["which"] == 0 else syn1)[idx] += mean.astype(np.float32)
             held.unpersist()
     rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * params.dim_size, pa.int32()), pa.array(syn0.ravel()))
     outs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * params.dim_size, pa.int32()), pa.array(syn1.ravel()))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,42 +47,39 @@ def most_similar(items: DataFrame, idx: int, count: int = 100, min_count: int |
     return most_similar_by_vector(items, list(row[0]), count, min_count, column)
 
 
-def batch_similar(queries: DataFrame, items: DataFrame, count: int, column: str = "syn0", block: int = 512, query_block: int = 4096) -> DataFrame:
+def in_grid(queries: DataFrame, rows: DataFrame, query_block: int, row_block: int, query_key: str, row_key: str):
+    """Both sides cut into blocks of about so many rows by hash, each query block to meet each row block in one group of a cogroup: neither side comes to the driver, and a group is bounded on both sides."""
+    n_q = max(1, -(-queries.count() // query_block))
+    n_r = max(1, -(-rows.count() // row_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = queries.withColumn("_q", own(query_key, n_q)).withColumn("_r", every(n_r))
+    right = rows.withColumn("_r", own(row_key, n_r)).withColumn("_q", every(n_q))
+    return left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r"))
+
+
+def batch_similar(queries: DataFrame, items: DataFrame, count: int, column: str = "syn0", block: int = 16384, query_block: int = 4096) -> DataFrame:
     """``query_idx, rank, idx, score``: the ``count`` items of largest cosine to each query, in matrix products.
 
-    Queries go out in blocks of bounded size; every block meets each partition of items once, which returns its best
-    ``count`` a query, and those are merged by query."""
-    spark = items.sparkSession
-    rows = queries.select(F.col("idx"), F.col(column).cast("array<double>").alias("v"))
-    n = queries.count()
-    out = None
-    for start in range(max(1, -(-n // query_block))):
-        part = rows.where(F.pmod(F.xxhash64("idx"), F.lit(max(1, -(-n // query_block)))) == start).select("idx", "v").toPandas()
-        if not len(part):
-            continue
-        q = np.array(part["v"].tolist(), float)
-        held = spark.sparkContext.broadcast((part["idx"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            for pdf in batches:
-                for a in range(0, len(pdf), block):
-                    cutout = pdf.iloc[a : a + block]
-                    x = np.array(cutout["v"].tolist(), float)
-                    lengths = np.linalg.norm(x, axis=1)
-                    ok = lengths > 0
-                    x, idx = x[ok] / lengths[ok, None], cutout["idx"].to_numpy()[ok]
-                    if not len(x) or not len(q):
-                        continue
-                    s = q @ x.T
-                    k = min(count, s.shape[1])
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_idx": np.repeat(ids, k), "idx": idx[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-        found = items.select("idx", F.col(column).cast("array<double>").alias("v")).mapInPandas(score, "query_idx long, idx long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_idx long, rank int, idx long, score double")
+    Every block of queries meets every block of items in a task of its own, which returns its best ``count`` a query;
+    those are merged by query. Ties go to the smaller index; zero items have no score."""
+    vector = F.col(column).cast("array<double>").alias("v")
+
+    def score(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("idx", kind="stable")
+        v = np.array(x["v"].tolist(), float)
+        lengths = np.linalg.norm(v, axis=1) if len(v) else np.zeros(0)
+        v, idx = v[lengths > 0], x["idx"].to_numpy()[lengths > 0]
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_idx": [], "idx": [], "score": []})
+        t = np.array(q["v"].tolist(), float)
+        s = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300)) @ (v / lengths[lengths > 0, None]).T
+        k = min(count, s.shape[1])
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_idx": np.repeat(q["idx"].to_numpy(), k), "idx": idx[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+
+    pairs = in_grid(queries.select("idx", vector), items.select("idx", vector), query_block, block, "idx", "idx")
+    out = pairs.applyInPandas(score, "query_idx long, idx long, score double")
     best = Window.partitionBy("query_idx").orderBy(F.desc("score"), "idx")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count).select("query_idx", "rank", "idx", "score")
 

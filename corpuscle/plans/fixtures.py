@@ -11,16 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Raw rows dealt out to all cores where files have fewer splits than there are cores; larger tables stay as they are.
+
+    Whatever multiplies rows (lines, tokens, spans) should come after this, so that it runs on every core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, para_no, text``: the lines of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, lang, title, pos, text, target``: anchors of each page, whose title is the first word of its heading."""
     anchors = F.lit(r'<a href="/([^"]*)">([^<]*)</a>')
     pair = F.arrays_zip(F.regexp_extract_all("html", anchors, F.lit(1)).alias("x"), F.regexp_extract_all("html", anchors, F.lit(2)).alias("t"))
-    p = table(spark, sf_dir, "pages").select(
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         "page_id",
         F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"),
         normalize_title(F.regexp_extract("html", r"<h1>([^<\s]*)", 1)).alias("title"),

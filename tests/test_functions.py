@@ -91,3 +91,41 @@ def test_parse_markup():
     for broken in ("[[", "[[a|", "{{", "{|", "<ref>", "<!--", "]]}}|}", "[[a]] [[b", "<b", "=a", "[[[[a]]]]"):
         parse_page(broken)
     assert parse_page("abc", preprocess=str.upper)[0].text == "ABC"
+
+
+def test_wikitext_time_follows_length():
+    """Markup that never closes is read once, however much of it there is."""
+    import time
+
+    from corpuscle.functions.wikitext import parse_page
+
+    for piece in ("{{ a ", "[[ a ", "{{{ a ", "{| a ", "{", "[", "<ref>a", "<nowiki>", "<gallery>", "[http://a ", "<!--", "== "):
+        start = time.process_time()
+        parse_page(piece * 20_000)
+        assert time.process_time() - start < 3, piece
+
+
+def test_wikitext_pairs_are_those_of_counting():
+    import random
+
+    from corpuscle.functions.wikitext import _Pairs
+
+    def count(text, at, opening, closing):
+        depth = 0
+        while at < len(text):
+            if text.startswith(opening, at):
+                depth, at = depth + 1, at + 2
+            elif text.startswith(closing, at):
+                depth, at = depth - 1, at + 2
+                if not depth:
+                    return at
+            else:
+                at += 1
+        return -1
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("{}[]|a") for _ in range(rng.randrange(1, 25)))
+        pairs = _Pairs(text)
+        for a, b in (("{{", "}}"), ("[[", "]]"), ("{|", "|}")):
+            assert all(pairs.end(i, a, b) == count(text, i, a, b) for i in range(len(text)) if text.startswith(a, i))

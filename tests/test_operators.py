@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,51 @@ def test_classification_features_and_model(spark):
     feats = spark.createDataFrame([(i, words[i].tolist(), ents[i].tolist(), data["priors"][i].tolist()) for i in range(20)], "doc_id int, words array<int>, entities array<int>, priors array<double>")
     got = {r.doc_id: r.pred for r in classify.predict(feats, model).collect()}
     assert [got[i] for i in range(20)] == model.forward(words[:20], ents[:20], data["priors"][:20]).argmax(1).tolist()
+
+
+def test_numbers_and_running_sums_follow_the_order(spark):
+    rows = [(i * 7919 % 1000, i % 5, float(i % 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, g long, v double").repartition(7)
+    want = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = D.number_rows(df, ["g", "k"], 10, "n").orderBy("n").collect()
+    assert [(r.n, r.g, r.k) for r in got] == [(10 + i, g, k) for i, (k, g, _) in enumerate(want)]
+    sums = D.running_sum(df, ["g", "k"], "v", "s").orderBy("g", "k").collect()
+    total = 0.0
+    for r, (_, _, v) in zip(sums, want, strict=True):
+        total += v
+        assert abs(r.s - total) < 1e-9
+
+
+def test_classifier_gradient_is_that_of_the_loss():
+    """Every kind of weight against finite differences of the loss."""
+    rng = np.random.default_rng(0)
+    for use_word in (True, False):
+        m = classify.Naboe(rng.normal(size=(9, 4)), rng.normal(size=(7, 4)), rng.normal(size=2), 0.3, rng.normal(size=(3, 4)), rng.normal(size=3))
+        m.use_word = use_word
+        m.words[0] = m.entities[0] = 0
+        words, ents = rng.integers(0, 9, (5, 6)), rng.integers(0, 7, (5, 3))
+        words[:, 0], ents[:, 0] = 1, 2
+        batch = words, ents, rng.random((5, 3)), rng.integers(0, 3, 5)
+        _, grads = m.gradients(*batch)
+        for name, g in grads.items():
+            p = np.array(getattr(m, name), float)
+            for at in list(np.ndindex(p.shape))[:60]:
+                if name in ("words", "entities") and at[0] == 0:
+                    continue
+                values = []
+                for d in (1e-5, -1e-5):
+                    q = p.copy()
+                    q[at] += d
+                    setattr(m, name, q if q.ndim else float(q))
+                    values.append(m.gradients(*batch)[0])
+                setattr(m, name, p if p.ndim else float(p))
+                assert abs((values[0] - values[1]) / 2e-5 - np.asarray(g)[at]) < 1e-6, (name, at)
+
+
+def test_changes_of_many_partitions_are_averaged_by_row():
+    a = np.arange(12, dtype=float).reshape(3, 4)
+    raw = lambda x: x.tobytes()
+    part = lambda idx, d: {"which": 0, "block": 0, "idx": raw(np.array(idx)), "met": raw(np.ones(len(idx), np.int64)), "delta": raw(d)}
+    out = E._sum_changes((pa.scalar(0), pa.scalar(0)), pa.Table.from_pylist([part([2, 5, 7], a), part([5], a[:1])]))
+    assert np.frombuffer(out["idx"][0].as_py(), np.int64).tolist() == [2, 5, 7] and np.frombuffer(out["met"][0].as_py(), np.int64).tolist() == [1, 2, 1]
+    assert np.allclose(np.frombuffer(out["delta"][0].as_py(), float).reshape(3, 4), [a[0], a[1] + a[0], a[2]])
