@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 from pyspark.sql import Column, functions as F
 
-#: Namespace aliases by language; only languages in use are shipped, callers may pass their own.
-CATEGORY_ALIASES: dict[str, tuple[str, ...]] = {"en": (), "de": ("Kategorie",), "es": ("Categoría",), "fr": ("Catégorie",), "ja": ("カテゴリ",), "zh": ("分类", "分類")}
-MEDIA_ALIASES: dict[str, tuple[str, ...]] = {
-    "en": (),
-    "de": ("Datei", "Bild"),
-    "es": ("Archivo", "Imagen"),
-    "fr": ("Fichier",),
-    "ja": ("ファイル", "画像"),
-    "zh": ("文件", "图像"),
-}
-#: Lower-cased names of templates that mark a disambiguation page.
-DISAMBIGUATION_TEMPLATES: tuple[str, ...] = ("disambig", "disambiguation", "dab", "hndis", "geodis", "aimai", "begriffsklärung", "desambiguación", "homonymie", "消歧义")
+
+def _lines(name: str) -> list[str]:
+    return [x for x in pkgutil.get_data(__package__, name).decode().split("\n") if x]
+
+
+def _aliases(kind: str) -> dict[str, tuple[str, ...]]:
+    """Names of a namespace by language; the file lists each name with the languages that use it."""
+    out: dict[str, tuple[str, ...]] = {}
+    for k, name, languages in (line.split("\t") for line in _lines("namespaces.tsv")):
+        if k == kind:
+            for language in languages.split():
+                out[language] = (*out.get(language, ()), name)
+    return out
+
+
+#: Namespace aliases by language, besides the English names that all have; callers may pass their own.
+CATEGORY_ALIASES: dict[str, tuple[str, ...]] = _aliases("category")
+MEDIA_ALIASES: dict[str, tuple[str, ...]] = _aliases("media")
+#: Lower-cased names of templates that mark a disambiguation page, in all languages.
+DISAMBIGUATION_TEMPLATES: tuple[str, ...] = tuple(_lines("disambiguation.txt"))
 
 
 def _prefixes(names: tuple[str, ...]) -> str:

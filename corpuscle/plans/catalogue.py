@@ -492,6 +492,28 @@ def naboe_forward(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("vec_id", "k", F.round(F.col("x") / F.sum("x").over(Window.partitionBy("vec_id")), 6).alias("attention"))
 
 
+KINDS = {"en": ("Category", "File"), "de": ("Kategorie", "Datei"), "fr": ("Catégorie", "Fichier"), "es": ("Categoría", "Archivo")}
+
+
+@query("namespaces_by_language", "WITH " + LINK + ", p AS (SELECT * FROM (VALUES ('en', 'Category', 'File'), ('de', 'Kategorie', 'Datei'), ('fr', 'Catégorie', 'Fichier'), ('es', 'Categoría', 'Archivo')) t(of, c, m)) SELECT page_id, pos, lang, of, of IN ('en', lang) AS is_category, of IN ('en', lang) AS is_media, text AS rest FROM link, p")
+def namespaces_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles with the category and media names of four languages, judged by the language of their page."""
+    k = X.page_links(spark, sf).withColumn("z", F.explode(F.array(*[F.struct(F.lit(x).alias("of"), F.lit(c).alias("c"), F.lit(m).alias("m")) for x, (c, m) in KINDS.items()])))
+    category, media = F.concat("z.c", F.lit(":"), "text"), F.concat("z.m", F.lit(":"), "text")
+    by = lambda f: F.coalesce(*[F.when(F.col("lang") == x, f(x)) for x in KINDS])
+    rest = F.when(by(lambda x: H.is_category_title(category, x)), by(lambda x: H.strip_category_prefix(category, x))).otherwise(F.col("text"))
+    return k.select("page_id", "pos", "lang", F.col("z.of").alias("of"), by(lambda x: H.is_category_title(category, x)).alias("is_category"), by(lambda x: H.is_media_title(media, x)).alias("is_media"), rest.alias("rest"))
+
+
+@query("disambiguation_by_language", "SELECT p_partkey, p_partkey % 2 = 0 AS is_disambiguation FROM part")
+def disambiguation_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Templates that mark a disambiguation page in some language, each in odd case and spacing, against like names that mark none."""
+    names = F.array(*map(F.lit, H.DISAMBIGUATION_TEMPLATES))
+    name = F.element_at(names, (F.col("p_partkey") / 2 % F.size(names)).cast("int") + 1)
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("a {{ "), F.initcap(name), F.lit(" |x}} b"))).otherwise(F.concat(F.lit("a {{no "), name, F.lit("}} "), name))
+    return X.table(spark, sf, "part").select("p_partkey", H.is_disambiguation(text).alias("is_disambiguation"))
+
+
 WIKI = "w AS (SELECT p_partkey, '''''''' || p_brand || ''''''' is a [[' || p_type || '|' || p_name || ']]' || CASE WHEN p_partkey % 5 = 0 THEN ' {{Disambig|x}}' ELSE ' {{Infobox|x}}' END || CASE p_partkey % 3 WHEN 0 THEN '[[Category:Parts]]' WHEN 1 THEN '[[File:a.png]]' ELSE '' END AS wiki_text, p_brand, p_type, p_name FROM part)"
 
 
