@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, toxicity
+from . import mixing, oracles, quality, toxicity
 from .ann import nearest
 from .decontaminate import contamination
 from .html import extract_pages
@@ -77,4 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op4_curriculum_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_curriculum_mix": mixing.ORACLE,
+    "op5_bucket_pointer_repeats": oracles.REPEATS,
+    "op6_positional_decontamination": oracles.CONTAMINATION,
+    "op10_minhash_near_dedup": oracles.NEAR,
+}
