@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .crf import Chains, Crf
-from .labelled import training_sample
-from .textops import LOWER, SPACE, chunks, crc_mod, prefix_prints, span_prints, string_column, words
+from .labelled import held_out, training_sample
+from .textops import LOWER, SPACE, chunks, prefix_prints, span_prints, string_column, words
 
 TRAIN_DOCS = 6000
 BINS = 10
@@ -132,7 +132,7 @@ def _weighted(good: np.ndarray, size: np.ndarray, doc: np.ndarray, n: int) -> np
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int = 5, held: int = 0) -> QualityModel:
-    """Fit on at most ``bound`` labelled documents. Their line measures, not their texts, come to the driver."""
+    """Fit on at most ``bound`` labelled documents, of MAX_BYTES in all. Their line measures, not their texts, come to the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,14 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int
     return model
 
 
-def _score(model: Any, threshold: float, mod: int, held: int):
+def _score(model: Any, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             buf, offs = string_column(batch.column("text"))
             score, per, bad = m.documents(buf, offs)
-            ids = batch.column("doc_id")
-            hold = pa.array([None if i is None else bool(x) for i, x in zip(ids.to_pylist(), crc_mod(np.array(ids.fill_null(0)), mod) == held, strict=True)])
+            ids, hold = batch.column("doc_id"), batch.column("held_out")
             yield pa.RecordBatch.from_arrays([ids, hold, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(per), pa.array(bad)], ["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad"])
 
     return run
@@ -196,9 +195,9 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     """Quality of every whole text: ``doc_id, held_out, score, predicted, n_lines, n_bad``.
 
     A null or empty text has no lines and gets the score of a text all bad. A null id gives a null ``held_out``;
-    repeated rows repeat; other columns are ignored. One scan, no shuffle; the model is a few kB and broadcast."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold, mod, held), "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_bad long")
+    repeated rows repeat; other columns are ignored; an empty table gives no rows, and a text of any length is read whole. One scan, no shuffle; the model is a few kB and broadcast."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(mod, held).alias("held_out"))
+    return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_bad long")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:

@@ -7,7 +7,6 @@ everywhere, and two different strings of a corpus of V distinct ones meet with a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,11 +118,6 @@ def span_prints(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         return mix((prefix[end] - prefix[start]) * iv[start] + (end - start).astype(np.uint64))
 
 
-def crc_mod(ids: np.ndarray, mod: int) -> np.ndarray:
-    """crc32 of each id's decimal text, modulo ``mod``."""
-    return np.fromiter((zlib.crc32(str(i).encode()) % mod for i in ids.tolist()), np.int64, len(ids))
-
-
 def segment_sum(values: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` by segment number."""
     return np.bincount(seg, values, n)

@@ -14,14 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .labelled import training_sample
-from .textops import ALNUM, LOWER, chunks, crc_mod, prefix_prints, span_prints, string_column, words
+from .labelled import held_out, training_sample
+from .textops import ALNUM, LOWER, chunks, prefix_prints, span_prints, string_column, words
 
 TRAIN_DOCS = 8000
 BITS = 18
 HEADS = (4, 6, 8)
 KINDS = 1 + len(HEADS)
-#: Features count whose log-odds between toxic and clean documents of the sample exceed so many standard errors.
+#: Features count whose log-odds between toxic and clean documents of the sample exceed so many standard errors. What
+#: speaks for a clean text has no weight: one offending sentence makes a document toxic, whatever stands around it.
 LEAST_Z = 3.5
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
@@ -70,7 +71,7 @@ def noisy_or(z: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int = 5, held: int = 0, epochs: int = 15, rate: float = 0.5, l2: float = 1e-4, seed: int = 1) -> ToxicityModel:
-    """Fit on at most ``bound`` labelled documents with Adagrad. Their feature numbers, not their texts, come to the driver."""
+    """Fit on at most ``bound`` labelled documents, of MAX_BYTES in all, with Adagrad. Their feature numbers, not their texts, come to the driver."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, mod: int
     return model
 
 
-def _score(model: Any, threshold: float, mod: int, held: int):
+def _score(model: Any, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
@@ -145,8 +146,7 @@ def _score(model: Any, threshold: float, mod: int, held: int):
                 base = offs[a:b][text[bad]] - offs[a]
                 spans.append(np.stack([s0[bad] - base, s1[bad] - base], 1).ravel())
                 count[a:b] = np.bincount(text[bad], minlength=b - a)
-            ids = batch.column("doc_id")
-            hold = pa.array([None if i is None else bool(x) for i, x in zip(ids.to_pylist(), crc_mod(np.array(ids.fill_null(0)), mod) == held, strict=True)])
+            ids, hold = batch.column("doc_id"), batch.column("held_out")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * count)]), pa.int32()), pa.array(np.concatenate(spans), pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, hold, pa.array(score), pa.array((score >= threshold).astype(np.int32)), lists], ["doc_id", "held_out", "score", "predicted", "offending"])
 
@@ -158,6 +158,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
 
     ``offending`` lists first byte and end byte, in turn, of each sentence that is itself more likely toxic than not. A
     null text, or one without words, scores 0. A null id gives a null ``held_out``; repeated rows repeat; other columns
-    are ignored. One scan, no shuffle; the model has a fixed size of 4 MB and is broadcast."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold, mod, held), "doc_id long, held_out boolean, score double, predicted int, offending array<long>")
+    are ignored; an empty table gives no rows, and a text of any length is read whole. One scan, no shuffle; the model has a fixed size of 4 MB and is broadcast."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(mod, held).alias("held_out"))
+    return src.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), "doc_id long, held_out boolean, score double, predicted int, offending array<long>")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import html, langid, lm, quality, toxicity
 from corpuscle.llm.crf import Chains, Crf
+from corpuscle.llm.labelled import training_sample
 from corpuscle.llm.toxicity import noisy_or
 
 from .cases import empty, frame, prose, texts
@@ -389,3 +390,14 @@ def test_quality(spark):
     assert kept.schema == docs.schema and kept.count() == sum(r.score >= 0.3 for r in out)
     assert quality.score_quality(empty(spark), model).count() == 0
     assert quality.score_quality(frame(spark, texts()), quality.train(docs, labels.limit(0))).count() == len(texts())
+
+
+def test_training_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 10 else 100_000)) for i in range(300)] + [(7, "y"), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(3, None), (None, 1), (999, 1)], "doc_id long, quality int")
+    whole = training_sample(docs, labels, "quality", 1000).collect()
+    assert {r.doc_id for r in whole} == {i for i in range(300) if part(i, 5)} and len(whole) == len({r.doc_id for r in whole}) + bool(part(7, 5))
+    assert len({r.doc_id for r in training_sample(docs, labels, "quality", 40).collect()}) <= 40
+    few = training_sample(docs, labels, "quality", 1000, max_bytes=50_000).collect()
+    assert 45 <= len(few) <= 52 and sum(len(r.text) for r in few) <= 50_000
+    assert sorted(map(str, few)) == sorted(map(str, training_sample(docs.repartition(5), labels, "quality", 1000, max_bytes=50_000).collect()))
