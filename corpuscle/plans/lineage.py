@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder; into one of our own only where ``spark.checkpoint.dir`` is unset."""
+    """Checkpoint into the cluster's shared folder; into one of our own only where ``spark.checkpoint.dir`` is unset and all runs on this machine."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="corpuscle-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", "file://" + own)
