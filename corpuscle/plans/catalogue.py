@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -110,7 +111,7 @@ def sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", "para_no", "sent", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
-@query("normalize_text")
+@query("normalize_text", "SELECT doc_id, strip_accents(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM documents")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return X.table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
@@ -215,7 +216,22 @@ def mention_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mention_query", f"WITH {AMB} SELECT name, entity, link_count FROM mention WHERE name IN ('the', 'on', 'der', 'de')")
 def mention_query(spark: SparkSession, sf: str) -> DataFrame:
-    return _mentions(spark, sf).where(F.col("name").isin("the", "on", "der", "de")).select("name", "entity", "link_count")
+    db = N.MentionDB(cut(_mentions(spark, sf)), None, {"build_params": vars(MentionParams())})
+    found = db.mentions.where("false")
+    for text in ("The", "ON", "der", "de", "no such name"):  # names are folded
+        try:
+            found = found.unionByName(db.query(text))
+        except KeyError:
+            pass
+    return found.select("name", "entity", "link_count")
+
+
+@query("link_name_pairs", f"WITH {EDGE} SELECT lower(l.text) AS name, k.entity, CAST(count(*) AS BIGINT) AS n FROM link l JOIN known k ON k.t = l.target WHERE length(l.text) <= 20 AND l.text <> '' GROUP BY ALL")
+def link_name_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    d = _dictionary(spark, sf)
+    pairs = N.link_names(X.page_links(spark, sf), d, 20)
+    titles = d.entities.select(F.col("idx").alias("entity_idx"), F.col("title").alias("entity"))
+    return pairs.join(titles, "entity_idx").groupBy("name", "entity").agg(F.count("*").alias("n"))
 
 
 @query("prefix_search", f"WITH {LINK}, name AS (SELECT DISTINCT lower(text) AS name FROM link WHERE length(text) <= 20 AND text <> '') SELECT item_id, name, CAST(length(name) AS INTEGER) AS len FROM benchmark JOIN name ON starts_with(substr(lower(text), 1, 20), name)")
@@ -473,7 +489,12 @@ def feature_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return seq.select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query("entity_linker_names")
+CLEAN = "strip_accents(lower(regexp_replace(regexp_replace({0}, '\\s\\(.*\\)$', ''), '\\s+', ' ', 'g')))"
+
+
+@query("entity_linker_names", f"""WITH {REDIR}, n AS (SELECT text AS name, coalesce(r3.dst, r2.dst, r1.dst, target) AS title, 0 AS own FROM link LEFT JOIN redir r1 ON r1.src = target LEFT JOIN redir r2 ON r2.src = r1.dst LEFT JOIN redir r3 ON r3.src = r2.dst WHERE length(text) <= 30 AND text <> ''
+UNION ALL SELECT {CLEAN.format('title')}, title, 1 FROM (SELECT DISTINCT title FROM link) UNION ALL SELECT {CLEAN.format('src')}, dst, 1 FROM redir)
+SELECT name, title, CAST(count(*) AS BIGINT) AS link_count, CAST(sum(own) AS BIGINT) AS own FROM n GROUP BY name, title""")
 def entity_linker_names(spark: SparkSession, sf: str) -> DataFrame:
     k = X.page_links(spark, sf)
     names = entity_names(k.select("text", "target"), k.select("title").distinct(), X.redirects(spark, sf), 30)
@@ -483,13 +504,24 @@ def entity_linker_names(spark: SparkSession, sf: str) -> DataFrame:
 @query("naboe_forward", """WITH d AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS u, b.vec_id - a.vec_id AS k, b.embedding::DOUBLE[] AS e FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5 WHERE a.vec_id % 10 = 0),
 l AS (SELECT vec_id, k, exp(0.7 * (k / 5.0) + 1.3 * list_cosine_similarity(u, e) - 0.1) AS x FROM d) SELECT vec_id, CAST(k AS INTEGER) AS k, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS attention FROM l""")
 def naboe_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """The attention of the classifier in plain expressions: a softmax over a linear form of prior and cosine."""
+    """The attention that the classifier's own forward pass gives five entities of one word each."""
     e = X.table(spark, sf, "embeddings")
     a = e.where("vec_id % 10 = 0").select("vec_id", F.col("embedding").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
     d = a.join(e.select(F.col("vec_id").alias("o"), F.col("embedding").alias("e")), F.col("o") == F.col("vec_id") + F.col("k"))
-    x = F.exp(F.lit(0.7) * (F.col("k") / F.lit(5.0)) + F.lit(1.3) * V.cosine(F.col("u"), F.col("e")) - F.lit(0.1))
-    d = d.select("vec_id", "k", x.alias("x"))
-    return d.select("vec_id", "k", F.round(F.col("x") / F.sum("x").over(Window.partitionBy("vec_id")), 6).alias("attention"))
+    d = d.groupBy("vec_id").agg(F.first("u").alias("u"), F.array_sort(F.collect_list(F.struct("k", "e"))).alias("near"))
+
+    def attend(batches):
+        for pdf in batches:
+            out = []
+            for key, u, near in zip(pdf["vec_id"], pdf["u"], pdf["near"], strict=True):
+                k = np.array([x["k"] for x in near])
+                table = lambda rows: np.concatenate([np.zeros((1, len(u))), np.array(rows, float).reshape(-1, len(u))])  # noqa: B023, E731
+                model = classify.Naboe(table(list(u)), table([x["e"] for x in near]), np.array([0.7, 1.3]), -0.1, np.zeros((1, len(u))), np.zeros(1))
+                found = model.forward(np.array([[1]]), np.arange(1, len(k) + 1)[None], k[None] / 5.0, cache=True)[2][0]
+                out += [(key, int(i), round(float(x), 6)) for i, x in zip(k, found, strict=True)]
+            yield pd.DataFrame(out, columns=["vec_id", "k", "attention"])
+
+    return d.mapInPandas(attend, "vec_id long, k int, attention double")
 
 
 KINDS = {"en": ("Category", "File"), "de": ("Kategorie", "Datei"), "fr": ("Catégorie", "Fichier"), "es": ("Categoría", "Archivo")}
@@ -544,13 +576,13 @@ def gold_files(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.analogy_questions(lines.unionByName(heads))
 
 
-@query("train_smoke")
+@query("train_smoke", f"WITH {TOK}, {ENT.replace('count >= 3', 'count >= 1')} SELECT 'word' AS kind, lower(token) AS name, 16 AS dim, true AS has_vector FROM tok WHERE n >= 5 GROUP BY 2 HAVING count(*) >= 20 UNION ALL SELECT 'entity', title, 16, true FROM ent")
 def train_smoke(spark: SparkSession, sf: str) -> DataFrame:
-    """One iteration over all documents and pages, with the link graph and detected mentions: names and lengths of the vectors."""
+    """One iteration over all documents and pages, with the link graph and detected mentions: the items and whether each has a vector."""
     p = X.paragraphs(spark, sf)
     links = X.page_links(spark, sf).select(F.col("page_id").alias("doc_id"), F.lit(0).alias("para_no"), "title", "target", "text", F.lit(0).alias("start"), F.lit(3).alias("end"))
     d = D.Dictionary.build(p, links, X.redirects(spark, sf), X.disambiguations(spark, sf), "en", DictionaryParams(min_word_count=20, min_entity_count=1), paragraph_doc="doc_id", link_doc="doc_id")
     graph = G.LinkGraph.build(links, d)
     mentions = N.MentionDB.build(p, links, d, MentionParams(min_link_prob=0.05, min_prior_prob=0.1), "doc_id")
-    model = E.train(p, links, d, graph, mentions, TrainParams(dim_size=16, iteration=1, window=2), ["doc_id", "para_no"], partitions=4)
-    return model.items.select("kind", "name", F.size("syn0").alias("dim"), F.round(V.norm(F.col("syn0")), 3).alias("length"))
+    model = E.train(p, links, d, graph, mentions, TrainParams(dim_size=16, iteration=1, window=2), ["doc_id", "para_no"])
+    return model.items.select("kind", "name", F.size("syn0").alias("dim"), (V.norm(F.col("syn0")) > 0).alias("has_vector"))
