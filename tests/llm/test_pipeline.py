@@ -58,3 +58,23 @@ def test_benchmark_stage(spark, data, stages):
 def test_mix_stage_and_run(spark, data, stages):
     out = P.run(spark, data)
     assert sorted(map(str, out.collect())) == sorted(map(str, stages[5].collect()))
+
+
+def test_stages_on_empty_and_odd_tables(spark, data):
+    """Each stage on no rows, and on nulls, repeats, empty texts and clashing columns: columns stay, and what it doesn't judge stays."""
+    from .cases import empty, frame
+
+    odd = [(None, None), (None, "a b c"), (1, None), (1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (4, " \t ")]
+    for name, f in P.STAGES:
+        none = f(spark, empty(spark), data)
+        assert none.count() == 0, name
+        docs = frame(spark, odd)
+        out = f(spark, docs, data)
+        if f is not P.STAGES[-1][1]:
+            assert out.columns == docs.columns and none.columns == empty(spark).columns, name
+            rest = out.exceptAll(docs).count()
+            assert rest == 0, name
+            if f is not P.STAGES[0][1]:
+                assert out.count() == len(odd), name
+        else:
+            assert out.count() == len(odd)
