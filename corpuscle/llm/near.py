@@ -19,7 +19,9 @@ from .scratch import Scratch
 from .textops import LOWER, SPACE, chunks, mix, prefix_prints, signed, span_prints, string_column, words
 
 HASHES, ROWS = 75, 5
+#: Larger families are cut into blocks of some HUBS sets, at most BLOCKS of them unless one would have over FAMILY_SHINGLES shingles.
 HUBS = 256
+BLOCKS = 64
 #: A family of candidates up to these sizes is compared in one task.
 FAMILY_SETS = 1000
 FAMILY_SHINGLES = 2_000_000
@@ -153,6 +155,66 @@ def family_labels(ids: np.ndarray, h: np.ndarray, offs: np.ndarray, percent: int
     return label
 
 
+def cross_links(label: np.ndarray, h: np.ndarray, offs: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that links between the sets ``left`` and the sets ``right`` make one: (the smaller, the larger) of each such step.
+
+    Sets of one label are not compared, those that became one on the way included; so a set of the label that most of ``right`` have meets only the others."""
+    label = label.copy()
+    found: list[tuple[int, int]] = []
+    size = np.diff(offs)
+    values, number, often = np.unique(h, return_inverse=True, return_counts=True)
+    shared = often[number] > 1  # others are in no intersection
+    number = number[shared]
+    at = np.concatenate([[0], np.cumsum(shared)])[offs]
+    flag = np.zeros(len(values) + 1, np.int32)  # the last is of the place behind all sets
+
+    def held(members: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = at[members + 1] - at[members]
+        start = np.cumsum(n) - n
+        place = np.arange(n.sum()) + np.repeat(at[members] - start, n)
+        return members, np.append(number[place], len(values)), start, n > 0
+
+    def most() -> tuple[int, tuple[np.ndarray, ...]]:
+        names, n = np.unique(label[right], return_counts=True)
+        main = int(names[n.argmax()])
+        return main, held(right[label[right] != main])
+
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every, (main, rest) = held(right), most()
+    for i in left:
+        members, numbers, start, any_ = rest if label[i] == main else every
+        other = label[members] != label[i]
+        mine = number[at[i] : at[i + 1]]
+        if not other.any() or not len(mine):
+            continue
+        flag[mine] = 1
+        both = np.add.reduceat(flag[numbers], start) * any_
+        flag[mine] = 0
+        near = np.unique(label[members[other & (both > 0) & _linked(size[i], size[members], both, percent)]])
+        for x in near:
+            low, high = sorted((int(x), int(label[i])))
+            found.append((low, high))
+            label[label == high] = low
+        if len(near):
+            main, rest = most()
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _block_links(percent: int):
+    """``a, b``: labels to be one, from two blocks of a family, or one with itself."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        buf, offs = string_column(rows.column("hashes"))
+        block = rows.column("block").to_numpy()
+        left, right = (np.flatnonzero(block == x.as_py()) for x in key[1:])
+        a, b = cross_links(rows.column("label").to_numpy(), np.frombuffer(buf.tobytes(), np.uint64), offs // 8, left, right, percent)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
 def _families(k: int, percent: int):
     """Labels of the members of one family, from their whole texts."""
 
@@ -210,8 +272,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     candidate links are families. A family of at most ``family_sets`` sets and FAMILY_SHINGLES shingles goes to one task
     with its texts, each sent once, and is compared there in full; nothing but labels comes out. In a larger family sets
     first meet the smallest id of each bucket; those of buckets that still hold several components are then grouped
-    by their rarest shingles, which is exact, and meet the smallest, then the largest id of such a group, then, about
-    HUBS at a time, all others of it that they aren't linked with yet. So copies cost one comparison each, and sets
+    by their rarest shingles, which is exact, and what groups connect is cut into blocks of about HUBS sets, every two
+    of which are one task; sets that are of one component already are not compared. So copies cost a comparison each,
+    a set apart from the others of its family one with each of them, the number of Spark jobs doesn't grow, and sets
     that only have common passages meet nowhere. A pair at the threshold shares no band with a chance of about
     (1 - 0.8**5)**30 = 7e-6; what shares one is always compared.
     """
@@ -252,7 +315,7 @@ def _meetings(members: DataFrame, which: Any) -> DataFrame:
 
 
 def _link_large(pairs: DataFrame, banded: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``rep, label`` of the members of large families, by comparing ``sets`` in pairs, ever fewer of which are left."""
+    """``rep, label`` of the members of large families: ``sets`` are compared with the smallest id of each bucket, then what that left apart in blocks, all at once."""
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Pairs that are links. The smaller id, a hub, may have any number of partners, so its set goes out to SALTS places."""
@@ -266,35 +329,27 @@ def _link_large(pairs: DataFrame, banded: DataFrame, sets: DataFrame, percent: i
         return scratch.keep(sets.select("rep").distinct().join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "labels")
 
     def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-        """The members of groups that hold several components, with their component and the group's size."""
+        """The members of groups that hold several components, with their component."""
         now = members.join(labels, "rep")
-        several = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 < l1")
-        return now.join(several.select("key", "size"), "key")
+        several = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
+        return now.join(several.select("key"), "key")
 
     edges = confirm(pairs.join(sets.select(F.col("rep").alias("a")).distinct(), "a"))
     labels = labelled(edges)
     left = apart(banded.join(sets.select("rep").distinct(), "rep"), labels).select("rep").distinct()
-    groups = scratch.keep(prefix_groups(sets.join(left, "rep"), percent), "groups")
-    for which in (F.min, F.max):
-        left = scratch.keep(apart(groups, labels), "apart")
-        meet = _meetings(left.select("key", "rep"), which)
-        known = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias("l" + c))
-        meet = meet.distinct().join(known("a"), "a").join(known("b"), "b").where("la <> lb").select("a", "b")
-        edges = scratch.keep(edges.unionByName(confirm(meet)), "edges")
-        labels = labelled(edges)
-    # what is still apart in a group shares a rare shingle with it and isn't linked with its ends: few, unless made so
-    blocks = F.ceil(F.col("size") / HUBS)
-    left = scratch.keep(apart(groups, labels).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks)).drop("size"), "apart")
-    n_blocks = left.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
-    for j in range(n_blocks):
-        hubs = left.where(F.col("block") == j).select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
-        rest = left.where(F.col("block") >= j).select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "block")
-        meet = hubs.join(rest, "key").where((F.col("la") != F.col("lb")) & ((F.col("block") > j) | (F.col("a") < F.col("b"))))
-        edges = scratch.keep(edges.unionByName(confirm(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))), "edges")
-        labels = labelled(edges)
-        if j + 1 < n_blocks:
-            left = scratch.keep(apart(left.where(F.col("blocks") > j + 1).drop("label"), labels).drop("size"), "apart")
-    return labels
+    groups = prefix_groups(sets.join(left, "rep"), percent)
+    # what is still apart in a group is compared with all that groups connect it with, every two blocks in a task
+    left = scratch.keep(apart(groups, labels).select("key", "rep", "label"), "apart")
+    parts = components(_meetings(left.select("key", "rep"), F.min).distinct(), scratch).select(F.col("node").alias("rep"), F.col("label").alias("part"))
+    left = scratch.keep(left.select("rep", "label").distinct().join(parts, "rep").join(sets, "rep"), "left")
+    n = left.groupBy("part").agg(F.count("*").alias("sets"), (F.sum(F.octet_length("hashes")) / 8).alias("shingles"))
+    n = n.select("part", F.greatest(F.least(F.ceil(F.col("sets") / HUBS), F.lit(BLOCKS)), F.ceil(F.col("shingles") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
+    cut = left.join(n, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("part", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "label", "hashes")
+    merged = components(scratch.keep(cut.groupBy("part", "p", "q").applyInArrow(_block_links(percent), "a long, b long"), "links"), scratch)
+    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(merged, "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:

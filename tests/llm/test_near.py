@@ -100,6 +100,29 @@ def test_bucket_of_many_copies(spark):
     assert {r.component_id for r in out} == {0} and len(out) == 5000
 
 
+def test_steps_of_a_large_family_do_not_grow(spark, monkeypatch):
+    """A cluster of links and near misses: as many tables are written for 72 sets as for 24, components aside, and every pair is judged."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    ts = []
+    for i in range(72):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 8)):
+            w[at] = f"own{rng.randrange(400)}"
+        ts.append((i, " ".join(w)))
+    monkeypatch.setattr("corpuscle.llm.near.HUBS", 4)
+    keep, written = Scratch.keep, []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(name) or keep(self, df, name))
+    steps = []
+    for n in (24, 72):
+        written.clear()
+        out = near_duplicates(spark.createDataFrame(ts[:n], "doc_id long, text string"), k=4, family_sets=10).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(ts[:n], 4)
+        steps.append(sum(not name.startswith("cc-") for name in written))
+    assert 1 < len({r.component_id for r in out}) < 72
+    assert steps[0] == steps[1]
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     docs = frame(spark, texts())
     kept = keep_one_of_each(docs)
