@@ -8,8 +8,9 @@ the last factor, inside a group, is a relative frequency: the words of a group c
 documents, unknown ones included.
 
 Training is synchronous. A first pass counts classes and slots by feature row over all training documents, which gives
-the start. Each further round sums the gradients of a part of the documents (by hash of the id) at the same weights, and
-takes one step scaled by the counted curvature. Sums don't depend on how rows lie in files or tasks, nor does the model.
+the start. Each further round sums the gradients of its part of the documents (by hash of the id; the rounds' parts are
+all of them) at the same weights, and takes one step scaled by the counted curvature. Sums don't depend on how rows lie in
+files or tasks, nor does the model.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SLOTS = 16
 ALONE = 8
 MAX_BITS = 20
 FEATURES = 4
-ROUNDS, PARTS = 3, 8
+ROUNDS = 3
 #: The share of a log-ratio that a weight starts with, tokens of smoothing, length of a step, tokens of its shape that a word's predecessors count as.
 START, SMOOTH, RATE, OF_SHAPE = 0.4, 10.0, 2.0, 2.0
 BLOCK = 256
@@ -386,9 +387,10 @@ def _model(train: DataFrame, counts: DataFrame, n_tokens: int, n_types: int, rou
     seen = _assemble(train.mapInArrow(_sums(held_v, sc.broadcast(model), False), BLOCK_SCHEMA), model.w.shape)
     model.start(seen)
     for r in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == r % PARTS)
+        # the rounds share out the documents, so that all of them have trained the model
+        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
         total = _assemble(part.mapInArrow(_sums(held_v, sc.broadcast(model), True), BLOCK_SCHEMA), model.w.shape)
-        model.step(total, seen, PARTS)
+        model.step(total, seen, rounds)
     norm = np.log10(np.bincount(leaf, tokens_ + types, CLASSES * SLOTS) + 1)
     return vocabulary, model, norm
 

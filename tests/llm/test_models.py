@@ -317,6 +317,17 @@ def test_lm_gradient_is_that_of_the_likelihood():
         assert abs((up - down) / 2e-4 - g[at]) < 1e-3
 
 
+def test_lm_rounds_use_all_documents(spark, monkeypatch):
+    """With counts in place of gradients, the rounds together see what the first pass sees."""
+    _, _, train = small_lm(spark)
+    counts = train.mapInArrow(lm._count, "h long, shape int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
+    sums, totals = lm._sums, []
+    monkeypatch.setattr(lm, "_sums", lambda v, m, gradient: sums(v, m, False))
+    monkeypatch.setattr(lm.Maxent, "step", lambda self, total, seen, parts: totals.append((total, seen)))
+    lm._model(train, counts, 1000, 31, lm.ROUNDS, lm.TOP)
+    assert len(totals) == lm.ROUNDS and (sum(t for t, _ in totals) == totals[0][1]).all()
+
+
 def test_lm_does_not_depend_on_the_layout(spark):
     """The same rows in 2 and in 16 partitions, with rare words joined or not."""
     docs = frame(spark, texts())
