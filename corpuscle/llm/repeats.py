@@ -18,15 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .scratch import Scratch
-from .textops import chunks, mix, prefix_prints, signed, span_prints, string_column
+from .textops import chunks, gram_prints, mix, prefix_prints, signed, span_prints, string_column
 
 DEPTHS = (20, 40, 80, 100)
 LENGTH = DEPTHS[-1]
 GRAM = DEPTHS[1]
 CHUNK = 2 << 20
+#: Runs are found in pieces of this size, whose arrays stay in a core's cache.
+PIECE = 1 << 17
+#: So many contexts, and the rest of the last bucket, are refined at once.
+CONTEXTS = 2000
 HOT_ROWS = 20_000
 HOT_BUCKETS = 100_000
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -34,8 +38,7 @@ _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def bucket_ids(buf: np.ndarray, depth: int) -> np.ndarray:
     """The bucket's name at ``depth`` of every suffix that is that long, without any sorting: a fingerprint of its q-gram, or of the names at two offsets."""
-    n = max(0, len(buf) - DEPTHS[0] + 1)
-    ids = span_prints(prefix_prints(buf), np.arange(n), np.arange(n) + DEPTHS[0])
+    ids = gram_prints(prefix_prints(buf), DEPTHS[0])
     for at, nxt in zip(DEPTHS, DEPTHS[1:]):
         if at >= depth:
             break
@@ -49,18 +52,22 @@ def refine(buf: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The number of the bucket at depth 100 of the ``n`` suffixes from each place ``first`` on.
 
     Each round sorts suffixes on (bucket, bucket at the later offset) and numbers the groups afresh; the next round
-    reads these numbers."""
+    reads these numbers. A suffix alone in its bucket stays so and is not sorted again."""
     reach = lambda more: (np.repeat(first, n + more) + _steps(n + more)) if len(n) else first
     names = bucket_ids(buf, GRAM)
     bucket = np.zeros(len(names), np.int64)
     here = reach(LENGTH - GRAM)
-    bucket[here] = np.unique(names[here], return_inverse=True)[1]
+    _, bucket[here], often = np.unique(names[here], return_inverse=True, return_counts=True)
     for at, nxt in zip(DEPTHS[1:], DEPTHS[2:]):
         here = reach(LENGTH - nxt)
-        pointer = bucket[here] * (len(names) + 1) + bucket[here + nxt - at]
-        refined = np.unique(pointer, return_inverse=True)[1]
+        several = often[bucket[here]] > 1
+        sort = here[several]
+        pointer = bucket[sort] * (len(names) + 1) + bucket[sort + nxt - at]
+        _, refined, often = np.unique(pointer, return_inverse=True, return_counts=True)
         bucket = np.zeros(len(names), np.int64)
-        bucket[here] = refined
+        bucket[sort] = refined
+        bucket[here[~several]] = len(often) + np.arange(len(here) - len(sort))
+        often = np.append(often, np.ones(len(here) - len(sort), np.int64))
     return bucket[here] if len(here) else np.zeros(0, np.int64)
 
 
@@ -76,39 +83,41 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     if n <= 0:
         return z.astype(np.uint64), z, z, z
     ids = bucket_ids(buf, GRAM)
-    w = LENGTH - GRAM + 1
-    block = np.concatenate([ids, np.full(-len(ids) % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(block, 1).ravel()
-    back = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    size = np.diff(offs)
-    count = np.maximum(size - LENGTH + 1, 0)
-    s = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offs[:-1], count)
-    if not len(s):
-        return z.astype(np.uint64), z, z, z
-    v = least[s]
-    new = np.ones(len(s), bool)
+    w, least, width = LENGTH - GRAM + 1, ids, 1
+    while 2 * width <= w:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[:n], least[w - width : w - width + n])
+    new = np.ones(n, bool)
     # the minimizer moves on where its value does, or where the window before began with it
-    new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1] + 1) | (ids[s[:-1]] == v[:-1])
+    new[1:] = (least[1:] != least[:-1]) | (ids[: n - 1] == least[:-1])
+    # a text's windows end where they would reach into the next one
+    for edge in (offs[:-1], offs[1:][np.diff(offs) >= LENGTH] - LENGTH + 1):
+        new[edge[edge < n]] = True
     first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(s)))
-    text = np.searchsorted(offs, s[first], "right") - 1
-    return v[first], text, s[first] - offs[text], length
+    length = np.diff(np.append(first, n))
+    text = np.searchsorted(offs, first, "right") - 1
+    inside = first + LENGTH <= offs[text + 1]
+    first, length, text = first[inside], length[inside], text[inside]
+    return least[first], text, first - offs[text], length
 
 
-def _batch_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    buf, offs = string_column(batch.column("text"))
+def _piece_runs(buf: np.ndarray, offs: np.ndarray, whole: bool = False) -> tuple[np.ndarray, ...]:
+    """``runs`` of texts of any total size; with ``whole`` also a print of each run's bytes."""
     out = []
-    for a, b in chunks(offs, CHUNK):
-        h, t, s, n = runs(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-        out.append((h, t + a, s, n))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
+    for a, b in chunks(offs, PIECE):
+        part = buf[offs[a] : offs[b]]
+        o = offs[a : b + 1] - offs[a]
+        h, t, s, n = runs(part, o)
+        lo = o[t] + s
+        out.append((h, t + a, s, n, *([span_prints(prefix_prints(part), lo, lo + n - 1 + LENGTH)] if whole else [])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * whole
 
 
 def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each bucket a batch meets (n: how often), and, spread at random (n: -1), all suffixes of those met twice."""
     for batch in batches:
-        h, t, s, _ = _batch_runs(batch)
+        h, t, s, _ = _piece_runs(*string_column(batch.column("text")))
         ids = np.asarray(batch.column("doc_id"))[t] if len(t) else t
         _, first, inv, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         again = np.flatnonzero(count[inv] > 1)
@@ -120,27 +129,10 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _drop_singletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket, those in a bucket of several suffixes; state is one row."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch.column(c)) for c in ("k", "doc_id", "s", "n")]
-        if held is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-        k, ids, s, n = cols
-        same = np.zeros(len(k) + 1, bool)
-        same[1:-1] = k[1:] == k[:-1]
-        if held is not None:
-            same[0] = held_same
-        last = len(k) - 1
-        keep = (same[:-1] | same[1:]) & (n == 1) | (n == -1)
-        keep[last] = False
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(s[keep])], ["doc_id", "s"])
-        held, held_same = [c[last:] for c in cols], same[last]
-    if held is not None and (held[3][0] == -1 or held[3][0] == 1 and held_same):
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], ["doc_id", "s"])
+def _several(rows: DataFrame) -> DataFrame:
+    """``doc_id, s`` of suffixes in a bucket of several, from rows of ``_minimizers``. No Python: nearly all rows go here."""
+    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("k")))
+    return rows.where("n = -1 or n = 1 and met > 1").select("doc_id", "s")
 
 
 def _intervals(doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,24 +155,28 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f_offs, values = np.asarray(batch.column("flagged").offsets), np.asarray(batch.column("flagged").values)
         for a, b in chunks(offs, CHUNK):
             part = buf[offs[a] : offs[b]]
-            h, t, s, n = runs(part, offs[a : b + 1] - offs[a])
-            mine = values[f_offs[a] : f_offs[b]].astype(np.int64) + np.repeat(np.arange(b - a), np.diff(f_offs[a : b + 1])) * (1 << 32)
-            hit = np.isin(s + t * (1 << 32), mine)
-            h, t, s, n = h[hit], t[hit], s[hit], n[hit]
+            place = offs[a : b + 1] - offs[a]
+            h, t, s, n, whole = _piece_runs(part, place, True)
+            mine = np.zeros(len(part), bool)
+            mine[values[f_offs[a] : f_offs[b]] + np.repeat(place[:-1], np.diff(f_offs[a : b + 1]))] = True
+            lo = place[t] + s
+            hit = mine[lo]
+            h, t, s, n, whole, lo = h[hit], t[hit], s[hit], n[hit], whole[hit], lo[hit]
             if not len(h):
                 continue
-            lo = offs[a:b][t] - offs[a] + s
             hi = lo + n - 1 + LENGTH
-            whole = span_prints(prefix_prints(part), lo, hi)
             doc = doc_ids[a:b][t]
-            order = np.lexsort((s, doc, h, whole))
-            first = np.ones(len(order), bool)
-            x = order
+            x = np.argsort(whole)
+            same = whole[x[1:]] == whole[x[:-1]]
+            alone = ~(np.append(same, False) | np.append(False, same))
+            new, x = x[alone], x[~alone]
+            x = x[np.lexsort((s[x], doc[x], h[x], whole[x]))]
+            first = np.ones(len(x), bool)
             first[1:] = (whole[x[1:]] != whole[x[:-1]]) | (h[x[1:]] != h[x[:-1]]) | (n[x[1:]] != n[x[:-1]])
             # rows of one place (repeated rows of an id) are no repeats of each other: those of the first place are dropped
             lead = x[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
             later = (doc[x] != doc[lead]) | (s[x] != s[lead])
-            new, old = np.sort(order[first]), np.sort(order[later])
+            new, old = np.sort(np.append(new, x[first])), np.sort(x[later])
             raw = part.tobytes()
             pick = np.concatenate([new, old])
             context = [raw[i:j] for i, j in zip(lo[new].tolist(), hi[new].tolist(), strict=True)] + [None] * len(old)
@@ -197,13 +193,17 @@ def _windows(rows: pa.Table | pa.RecordBatch, sort: bool) -> tuple[np.ndarray, .
     return h, deep, doc, s + at
 
 
-def _sorted_repeats(h: np.ndarray, deep: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, whether each place in it is not the first of its string). Rows of one place (repeated rows of an id) are no repeats of each other."""
-    x = np.lexsort((s, doc, deep, h))
-    new = np.ones(len(x), bool)
-    new[1:] = (deep[x[1:]] != deep[x[:-1]]) | (h[x[1:]] != h[x[:-1]])
-    lead = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
-    return x, (doc[x] != doc[lead]) | (s[x] != s[lead])
+def _later(deep: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The windows that are not at the first place of their string, whose number is ``deep``. Rows of one place (repeated rows of an id) are no repeats of each other."""
+    x = np.flatnonzero(np.bincount(deep)[deep] > 1)
+    if not len(x):
+        return x
+    x = x[np.argsort(deep[x])]
+    new = np.append(True, deep[x[1:]] != deep[x[:-1]])
+    group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+    d = np.minimum.reduceat(doc[x], start)[group]
+    p = np.minimum.reduceat(np.where(doc[x] == d, s[x], np.iinfo(np.int64).max), start)[group]
+    return x[(doc[x] != d) | (s[x] != p)]
 
 
 def _found(doc: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
@@ -214,11 +214,12 @@ def _found(doc: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Refine whole buckets, of rows sorted by bucket, to depth 100; at most one bucket and one batch are held."""
+    batches = (b.slice(i, CONTEXTS) for b in batches for i in range(0, b.num_rows, CONTEXTS))
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        h, deep, doc, s = _windows(rows, True)
-        order, later = _sorted_repeats(h, deep, doc, s)
-        return _found(doc[order[later]], s[order[later]])
+        _, deep, doc, s = _windows(rows, True)
+        later = _later(deep, doc, s)
+        return _found(doc[later], s[later])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -297,8 +298,7 @@ def _repeated(docs: DataFrame, scratch: Scratch, hot_rows: int) -> tuple[DataFra
     copies = digest.join(firsts, "sha").where("doc_id > first").select("doc_id").distinct().join(single, "doc_id", "left_semi")
     copies = scratch.keep(copies, "copies")
     rows = docs.where("doc_id is not null").mapInArrow(_minimizers, "k long, doc_id long, s int, n int")
-    flagged = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_drop_singletons, "doc_id long, s int")
-    flagged = scratch.keep(flagged, "flagged")
+    flagged = scratch.keep(_several(rows), "flagged")
     scratch.release()
     lists = flagged.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("s").alias("flagged"))
     suffixes = scratch.keep(docs.join(lists, "doc_id").select("doc_id", "text", "flagged").mapInArrow(_contexts, SUFFIX), "suffixes")

@@ -118,6 +118,14 @@ def span_prints(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         return mix((prefix[end] - prefix[start]) * iv[start] + (end - start).astype(np.uint64))
 
 
+def gram_prints(prefix: np.ndarray, size: int) -> np.ndarray:
+    """What ``span_prints`` gives for every span of ``size`` bytes, without gathers."""
+    n = max(0, len(prefix) - size)
+    _, iv = _powers(len(prefix))
+    with np.errstate(over="ignore"):
+        return mix((prefix[len(prefix) - n :] - prefix[:n]) * iv[:n] + np.uint64(size))
+
+
 def segment_sum(values: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` by segment number."""
     return np.bincount(seg, values, n)

@@ -1,9 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from corpuscle.llm.repeats import LENGTH, bucket_ids, keep_first_strings, refine, remove_repeats
+from corpuscle.llm import repeats
+from corpuscle.llm.repeats import GRAM, LENGTH, bucket_ids, keep_first_strings, refine, remove_repeats, runs
 
 from .cases import empty, frame, prose, texts
 
@@ -84,3 +87,52 @@ def test_refinement_by_sorting_tells_strings_apart():
     want = [c[i : i + 100] for c, k in zip(contexts, n) for i in range(k)]
     assert len(got) == len(want) and len(set(got.tolist())) == len(set(want)) == len(set(zip(got.tolist(), want)))
     assert len(refine(buf, first[:0], n[:0])) == 0
+
+
+def test_runs_have_the_leftmost_smallest_name():
+    parts = [(t or "").encode() for _, t in texts()] + [b"", b"x" * 99, b"y" * 100, b"z" * 101, b""]
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    offs = np.cumsum([0] + [len(p) for p in parts])
+    ids = bucket_ids(buf, GRAM)
+    want, before = [], None
+    for t, p in enumerate(parts):
+        for s in range(len(p) - LENGTH + 1):
+            window = ids[offs[t] + s : offs[t] + s + LENGTH - GRAM + 1]
+            mini = (t, s + int(window.argmin()))
+            if mini == before:
+                want[-1][3] += 1
+            else:
+                want.append([int(window.min()), t, s, 1])
+            before = mini
+    assert [list(map(int, r)) for r in zip(*runs(buf, offs))] == want
+
+
+def test_runs_are_found_in_small_arrays():
+    """The arrays at work on a batch are no multiple of its text, so they stay in cache."""
+    rng = random.Random(6)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([prose(rng, 1500) for _ in range(400)])], ["doc_id", "text"])
+    list(repeats._minimizers(iter([batch.slice(0, 20)])))
+    tracemalloc.start()
+    list(repeats._minimizers(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * batch.column("text").nbytes
+
+
+def test_suffixes_alone_in_a_bucket_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    buf = rng.integers(0, 256, 20_000).astype(np.uint8)
+    buf[10_000:10_150] = buf[:150]
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: sizes.append(len(x)) or unique(x, *a, **k))
+    got = refine(buf, np.array([0, 5000, 10_000]), np.array([51, 51, 51]))
+    assert len(set(got.tolist())) == 102 and (got[:51] == got[102:]).all()
+    assert sizes == [3 * 111, 2 * 71, 2 * 51]
+
+
+def test_buckets_of_one_suffix_go_without_python(spark):
+    """Rows that say how often a batch met a bucket (n), and, under random names, suffixes of those it met twice (n = -1)."""
+    rows = [(1, 10, 0, 1), (1, 11, 5, 1), (2, 12, 0, 1), (3, 10, 7, 2), (3, 13, 1, 1), (4, 10, 9, 3), (90, 10, 7, -1), (91, 10, 8, -1)]
+    out = repeats._several(spark.createDataFrame(rows, "k long, doc_id long, s int, n int"))
+    assert sorted(map(tuple, out.collect())) == [(10, 0), (10, 7), (10, 8), (11, 5), (13, 1)]
+    assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
