@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -58,28 +58,50 @@ def in_grid(queries: DataFrame, rows: DataFrame, query_block: int, row_block: in
     return left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r"))
 
 
+#: Scores that a task holds at a time.
+CELLS = 1 << 21
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the ``k`` largest scores of each row; ties at the end go to the earlier columns."""
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+    take = s >= least
+    if (over := take.sum(1) > k).any():
+        above, ties = s[over] > least[over], s[over] == least[over]
+        take[over] = above | ties & (np.cumsum(ties, axis=1) <= k - above.sum(1, keepdims=True))
+    row, column = np.nonzero(take)
+    return row, column, s[row, column]
+
+
 def batch_similar(queries: DataFrame, items: DataFrame, count: int, column: str = "syn0", block: int = 16384, query_block: int = 4096) -> DataFrame:
     """``query_idx, rank, idx, score``: the ``count`` items of largest cosine to each query, in matrix products.
 
-    Every block of queries meets every block of items in a task of its own, which returns its best ``count`` a query;
-    those are merged by query. Ties go to the smaller index; zero items have no score."""
+    Every block of queries meets every block of items in a task of its own, some queries at a time, so that it never holds
+    more than CELLS scores (or one query's); it returns its best ``count`` a query, and those are merged by query. Ties go to the smaller index; zero items have no score."""
     vector = F.col(column).cast("array<double>").alias("v")
 
-    def score(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("idx", kind="stable")
-        v = np.array(x["v"].tolist(), float)
-        lengths = np.linalg.norm(v, axis=1) if len(v) else np.zeros(0)
-        v, idx = v[lengths > 0], x["idx"].to_numpy()[lengths > 0]
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_idx": [], "idx": [], "score": []})
-        t = np.array(q["v"].tolist(), float)
-        s = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300)) @ (v / lengths[lengths > 0, None]).T
-        k = min(count, s.shape[1])
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_idx": np.repeat(q["idx"].to_numpy(), k), "idx": idx[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+    def rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        idx = t.column("idx").to_numpy()
+        v = t.column("v").combine_chunks()
+        return idx, v.flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1) if len(idx) else np.zeros((0, 1))
+
+    def score(q: pa.Table, x: pa.Table) -> pa.Table:
+        (ids, t), (idx, v) = rows(q), rows(x)
+        order = np.argsort(idx, kind="stable")
+        lengths = np.linalg.norm(v, axis=1)
+        order = order[lengths[order] > 0]
+        v, idx = v[order] / lengths[order, None], idx[order]
+        if not len(v) or not len(t):
+            return pa.table({"query_idx": pa.array([], pa.int64()), "idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        t = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300)
+        k = min(count, len(v))
+        some = max(1, CELLS // len(v))
+        found = [_best(t[i : i + some] @ v.T, k) for i in range(0, len(t), some)]
+        at = np.concatenate([i * some + f[0] for i, f in enumerate(found)])
+        return pa.table({"query_idx": ids[at].astype(np.int64), "idx": idx[np.concatenate([f[1] for f in found])].astype(np.int64), "score": np.concatenate([f[2] for f in found])})
 
     pairs = in_grid(queries.select("idx", vector), items.select("idx", vector), query_block, block, "idx", "idx")
-    out = pairs.applyInPandas(score, "query_idx long, idx long, score double")
+    out = pairs.applyInArrow(score, "query_idx long, idx long, score double")
     best = Window.partitionBy("query_idx").orderBy(F.desc("score"), "idx")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count).select("query_idx", "rank", "idx", "score")
 

@@ -329,3 +329,30 @@ def test_changes_of_many_partitions_are_averaged_by_row():
     out = E._sum_changes((pa.scalar(0), pa.scalar(0)), pa.Table.from_pylist([part([2, 5, 7], a), part([5], a[:1])]))
     assert np.frombuffer(out["idx"][0].as_py(), np.int64).tolist() == [2, 5, 7] and np.frombuffer(out["met"][0].as_py(), np.int64).tolist() == [1, 2, 1]
     assert np.allclose(np.frombuffer(out["delta"][0].as_py(), float).reshape(3, 4), [a[0], a[1] + a[0], a[2]])
+
+
+def test_best_of_blocks_in_bounded_memory(spark, monkeypatch):
+    """Ties go to the smaller index, and a task holds a bounded number of scores however large its blocks are."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 4, (30, 50)).astype(float)
+    row, column, score = V._best(s, 7)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :7]
+    assert [set(column[row == i]) for i in range(30)] == [set(w) for w in want] and (score == s[row, column]).all()
+
+    class Held:
+        def applyInArrow(self, f, schema):  # noqa: N802
+            self.f = f
+            raise StopIteration
+
+    held = Held()
+    monkeypatch.setattr(V, "in_grid", lambda *a: held)
+    e = spark.createDataFrame([(1, [1.0])], "idx long, syn0 array<double>")
+    with pytest.raises(StopIteration):
+        V.batch_similar(e, e, 5)
+    table = lambda n: pa.table({"idx": np.arange(n), "v": pa.FixedSizeListArray.from_arrays(rng.normal(size=n * 4), 4).cast(pa.list_(pa.float64()))})
+    tracemalloc.start()
+    out = held.f(table(2048), table(16384))
+    assert tracemalloc.get_traced_memory()[1] < 120e6 and out.num_rows == 2048 * 5
+    tracemalloc.stop()
