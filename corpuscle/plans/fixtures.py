@@ -68,4 +68,4 @@ def wiki_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 5 == 0, " {{Disambig|x}}").otherwise(" {{Infobox|x}}"),
         F.when(F.col("p_partkey") % 3 == 0, "[[Category:Parts]]").when(F.col("p_partkey") % 3 == 1, "[[File:a.png]]").otherwise(""),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", t.alias("wiki_text"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", t.alias("wiki_text"))

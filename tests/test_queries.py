@@ -58,3 +58,9 @@ def test_training_takes_everything(spark, data, monkeypatch):
 def test_entry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and set(catalogue.QUERIES) <= set(q)
+
+
+def test_pages_are_parsed_on_every_core(spark, data):
+    """A table of one split is dealt out before it is parsed."""
+    assert catalogue.X.table(spark, data, "part").rdd.getNumPartitions() < 4
+    assert catalogue.X.wiki_strings(spark, data).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
