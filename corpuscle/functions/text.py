@@ -6,9 +6,13 @@ import importlib.util
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from . import kernels as K
 
 #: Letters, numbers and the underscore; the class that Java, RE2 and Python's \w agree on.
 WORD = r"[\p{L}\p{N}_]+"
@@ -20,11 +24,26 @@ def word_array(text: Column, rule: str = WORD) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rule), F.lit(0))
 
 
-def regexp_tokens(df: DataFrame, keys: list[str], text: str = "text", rule: str = WORD) -> DataFrame:
-    """One row a token: ``keys, pos, token, start, end`` with code-point offsets.
+@lru_cache
+def _edges(rule: str) -> tuple[int, ...]:
+    """Where the code points that Java's regular expressions count to a class of characters begin and end, by turns: asked of the JVM once, as Unicode versions differ."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    rest = np.frombuffer(SparkSession.active()._jvm.java.util.regex.Pattern.compile(rule).matcher(every).replaceAll("").encode("utf-32-le"), np.uint32)
+    inside = np.ones(0x110002, bool)
+    inside[rest.astype(np.int64) + 1] = inside[0] = inside[-1] = False
+    inside[0xD801:0xE001] = False
+    return tuple(map(int, np.flatnonzero(inside[1:] != inside[:-1])))
+
 
-    A token's start is the length of all gaps and tokens before it, a running sum by row key; ``keys`` must tell rows
-    apart. The lengths of pieces are used, never a regex engine's positions, so astral characters count once."""
+def regexp_tokens(df: DataFrame, keys: list[str], text: str = "text", rule: str = WORD) -> DataFrame:
+    """One row a token: ``keys, pos, token, start, end`` with code-point offsets; a map, without a shuffle.
+
+    For a rule other than WORD a token's start is the length of all gaps and tokens before it, a running sum by row key;
+    ``keys`` must tell rows apart. The lengths of pieces are used, never a regex engine's positions, so astral characters
+    count once."""
+    if scanner := Tokenizer(rule).scanner():
+        schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, t) for c, t in (("pos", T.IntegerType()), ("token", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType())))])
+        return df.select(*keys, F.col(text).alias("text")).mapInArrow(K.token_rows(scanner, keys), schema)
     t = F.coalesce(F.col(text), F.lit(""))
     pieces = F.arrays_zip(word_array(F.col(text), rule).alias("token"), F.split(t, rule, -1).alias("gap"))
     rows = df.select(*keys, F.posexplode(pieces).alias("pos", "p")).select(*keys, "pos", F.col("p.token").alias("token"), F.length("p.gap").alias("g"), F.length("p.token").alias("n"))
@@ -54,6 +73,10 @@ class Tokenizer:
     def words(self, text: Column) -> Column:
         return word_array(text, self.rule)
 
+    def scanner(self) -> K.Scanner | None:
+        """What finds the same tokens in Arrow kernels; None for rules other than runs of a class of characters."""
+        return K.Scanner(np.array(_edges(self.rule))) if self.rule == WORD else None
+
 
 class PythonTokenizer(Tokenizer):
     """A tokenizer made of a Python function from a text to (token, start, end) triples, run over Arrow batches."""
@@ -73,6 +96,9 @@ class PythonTokenizer(Tokenizer):
     def tokens(self, df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         return df.select(*keys, F.posexplode(self._spans()(F.col(text))).alias("pos", "t")).select(*keys, "pos", "t.token", "t.start", "t.end")
 
+    def scanner(self) -> K.Scanner | None:
+        return K.Scanner(None, self.cut)
+
     def words(self, text: Column) -> Column:
         return F.transform(self._spans()(text), lambda t: t["token"])
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions import kernels as K
 from ..functions.text import Tokenizer
 from ..functions.titles import is_category_title
 from ..params import DictionaryParams, as_dict
@@ -26,6 +27,24 @@ def count_in_documents(rows: DataFrame, item: str, doc: str = "doc") -> DataFram
     return per.groupBy(item).agg(F.sum("n").alias("count"), F.count("*").alias("doc_count"))
 
 
+def count_lists(lists: DataFrame, item: str) -> DataFrame:
+    """``item, count, doc_count`` from ``doc, items, n``: what each document holds, in one row or several.
+
+    A document's rows meet in a shuffle of its lists, not of a row for each of its words; what tasks find is summed."""
+    whole = lists.groupBy("doc").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("n")).alias("n")).select("items", "n")
+    return whole.mapInArrow(K.summed, "item string, count long, doc_count long").groupBy(F.col("item").alias(item)).agg(F.sum("count").alias("count"), F.sum("doc_count").alias("doc_count"))
+
+
+def word_counts(paragraphs: DataFrame, doc: str = "title", text: str = "text", lowercase: bool = True, min_paragraph_len: int = 5, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """``word, count, doc_count`` over paragraphs with at least ``min_paragraph_len`` tokens."""
+    scanner = (tokenizer or Tokenizer()).scanner()
+    if scanner is None:
+        return count_in_documents(paragraph_words(paragraphs, doc, text, lowercase, min_paragraph_len, tokenizer), "word")
+    rows = paragraphs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["doc"], T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    return count_lists(rows.mapInArrow(K.document_words(scanner, lowercase, min_paragraph_len), schema), "word")
+
+
 def entity_counts(links: DataFrame, doc: str = "doc", title: str = "title") -> DataFrame:
     """Counts of link targets; titles with a '#' are left out. Links of short paragraphs count too."""
     return count_in_documents(links.where(~F.contains(F.col(title), F.lit("#"))), title, doc)
@@ -114,8 +133,7 @@ class Dictionary:
     @staticmethod
     def build(paragraphs: DataFrame, links: DataFrame, redirects: DataFrame, disambiguations: DataFrame | None = None, language: str = "en", params: DictionaryParams = DictionaryParams(), tokenizer: Tokenizer | None = None, paragraph_doc: str = "title", link_doc: str = "title") -> Dictionary:
         """``paragraphs(doc, text)``, ``links(doc, target)``, ``redirects(src, dst)``, ``disambiguations(title)``."""
-        rows = paragraph_words(paragraphs, paragraph_doc, "text", params.lowercase, params.min_paragraph_len, tokenizer)
-        words = count_in_documents(rows, "word").where(F.col("count") >= params.min_word_count).withColumnRenamed("word", "text")
+        words = word_counts(paragraphs, paragraph_doc, "text", params.lowercase, params.min_paragraph_len, tokenizer).where(F.col("count") >= params.min_word_count).withColumnRenamed("word", "text")
         words = cut(dense_index(words, "text").select("idx", "text", "count", "doc_count"))
         n_words = words.count()
         raw = entity_counts(links.select(F.col(link_doc).alias("doc"), F.col("target").alias("title")))

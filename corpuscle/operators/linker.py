@@ -10,7 +10,7 @@ from ..functions.text import normalize_text
 from ..functions.titles import strip_disambiguator
 from ..params import LinkerParams
 from .dictionary import resolve_redirects
-from .mentions import longest_matches, mention_statistics, name_document_counts, token_spans, with_probabilities
+from .mentions import longest_matches, mention_statistics, name_document_counts, name_spans, with_probabilities
 
 
 def entity_names(links: DataFrame, titles: DataFrame, redirects: DataFrame, max_len: int, normalize: Column | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ class EntityLinker:
     def detect(self, docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         """``keys, start, end, name, title, …counts, prior_prob``: all candidates of the longest matching names."""
         src = docs.select(*keys, F.col(text).alias("text"))
-        spans = token_spans(src, keys, self.params.max_mention_len, case_sensitive=True)
+        spans = name_spans(src, keys, self.mentions, self.params.max_mention_len, case_sensitive=True)
         taken = longest_matches(spans, self.mentions, keys).join(src.withColumnRenamed("text", "_t"), keys)
         taken = taken.withColumn("name", F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))).drop("_t")
         return with_probabilities(taken.join(self.mentions.select("name", "title", "link_count", "total_link_count", "doc_count"), "name"))

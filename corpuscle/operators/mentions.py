@@ -1,19 +1,24 @@
 """Names of entities with link statistics, and greedy longest-match detection.
 
 Every place where a name could stand is a span from a token's start to a token's end, of bounded length; so a name
-lookup is an equality join of spans with names, and no trie is needed.
+lookup is an equality join of spans with names, and no trie is needed. Spans that a filter of the names' hashes keeps out
+are dropped where they are made.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions import kernels as K
 from ..functions.text import Tokenizer
 from ..params import MentionParams, as_dict
-from .dictionary import Dictionary
+from .dictionary import Dictionary, count_lists
 
 
 def _fold(c: Column, case_sensitive: bool) -> Column:
@@ -31,6 +36,24 @@ def token_spans(df: DataFrame, keys: list[str], max_len: int, case_sensitive: bo
     return spans.join(df.select(*keys, _fold(F.col(text), case_sensitive).alias("_t")), keys).select(*keys, "start", "end", F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("name"))
 
 
+def name_filter(names: DataFrame) -> Broadcast:
+    """Bits at the hashes of all names, 4 MB for any number of them. It lets every name through and few other spans, so what passes is still to be joined with the names."""
+    bits = np.zeros(1 << K.BITS - 3, np.uint8)
+    for row in names.select("name").where("name is not null").mapInArrow(K.name_places, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return names.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def name_spans(df: DataFrame, keys: list[str], names: DataFrame, max_len: int, case_sensitive: bool = False, text: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
+    """``keys, start, end, name``: of the spans of ``token_spans`` all that are in ``names``, and few others. Rows with a null key have none."""
+    scanner = (tokenizer or Tokenizer()).scanner()
+    if scanner is None:
+        return token_spans(df, keys, max_len, case_sensitive, text, tokenizer)
+    rows = df.dropna(subset=keys).select(*keys, F.col(text).alias("text"), _fold(F.col(text), case_sensitive).alias("fold"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("name", T.StringType())))])
+    return rows.mapInArrow(K.likely_spans(scanner, name_filter(names), max_len, keys), schema)
+
+
 def link_names(links: DataFrame, dictionary: Dictionary, max_len: int, case_sensitive: bool = False, text: str = "text", target: str = "target") -> DataFrame:
     """``name, entity_idx`` of links to known entities whose text has at most ``max_len`` characters before folding; empty texts are left out."""
     rows = links.where((F.length(text) <= max_len) & (F.col(text) != "")).select(_fold(F.col(text), case_sensitive).alias("name"), F.col(target).alias("_target"))
@@ -39,6 +62,13 @@ def link_names(links: DataFrame, dictionary: Dictionary, max_len: int, case_sens
 
 def name_document_counts(paragraphs: DataFrame, names: DataFrame, doc: str, keys: list[str], max_len: int, case_sensitive: bool = False, tokenizer: Tokenizer | None = None) -> DataFrame:
     """``name, doc_count``: documents in which the name stands on token boundaries."""
+    known = names.select("name").distinct()
+    scanner = (tokenizer or Tokenizer()).scanner()
+    if scanner is not None:
+        rows = paragraphs.dropna(subset=[doc, *keys]).select(F.col(doc).alias("doc"), "text", _fold(F.col("text"), case_sensitive).alias("fold"))
+        schema = T.StructType([rows.schema["doc"], T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType()))])
+        lists = rows.mapInArrow(K.document_names(scanner, name_filter(known), max_len), schema)
+        return count_lists(lists, "name").join(known, "name", "left_semi").select("name", "doc_count")
     spans = token_spans(paragraphs, keys, max_len, case_sensitive, "text", tokenizer)
     return spans.join(names.select("name").distinct(), "name", "left_semi").select(doc, "name").distinct().groupBy("name").agg(F.count("*").alias("doc_count"))
 
@@ -120,7 +150,7 @@ class MentionDB:
         The longest name takes its span even if it is ambiguous. It is a mention if it has one entity, else if just one
         of its entities is among ``entities(page, entity_idx)`` of the row's ``page``; otherwise it yields nothing."""
         p = self.params
-        spans = token_spans(paragraphs, keys, p.max_mention_len, p.case_sensitive, "text", tokenizer)
+        spans = name_spans(paragraphs, keys, self.mentions, p.max_mention_len, p.case_sensitive, "text", tokenizer)
         taken = longest_matches(spans, self.mentions, keys)
         taken = taken.join(paragraphs.select(*keys, F.col("text").alias("_t"), *([page] if page and page not in keys else [])), keys)
         taken = taken.withColumn("text", F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))).withColumn("name", _fold_span(p.case_sensitive)).drop("_t")

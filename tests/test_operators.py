@@ -356,3 +356,55 @@ def test_best_of_blocks_in_bounded_memory(spark, monkeypatch):
     out = held.f(table(2048), table(16384))
     assert tracemalloc.get_traced_memory()[1] < 120e6 and out.num_rows == 2048 * 5
     tracemalloc.stop()
+
+
+ODD = ["", None, "Straße İstanbul ΑΣ ΑΣΑ", "a", "Web of the web, THE web of things", "x" * 300 + " web", "日本語 web の web。 𝔘𝔫𝔦 web 😀web", "ÀÉ é web\tweb-web web_web 12 ١٢ web", "one", " the web ", "Ⅷ ⅷ ǅ web ß"] * 3
+GENERAL = r"(?:[\p{L}\p{N}_]+)"  # the same tokens as the built-in rule, by way of the plan for any rule
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = random.Random(5)
+    rows = [(i // 2 % 7, i, t) for i, t in enumerate(ODD)] + [(None, 99, "null web"), (None, 98, "null web"), (1, 97, " ".join(rng.choice(["the", "Web", "é", "of"]) for _ in range(500)))]
+    return spark.createDataFrame(rows, "doc long, para_no int, text string").repartition(3)
+
+
+def test_kernels_find_the_tokens_and_counts_of_the_general_plan(odd):
+    from corpuscle.functions.text import Tokenizer, regexp_tokens
+
+    every = lambda df: sorted(map(str, df.collect()))
+    for least in (1, 3):
+        want = D.count_in_documents(D.paragraph_words(odd, "doc", min_paragraph_len=least), "word")
+        assert every(D.word_counts(odd, "doc", min_paragraph_len=least)) == every(want)
+        assert every(D.word_counts(odd, "doc", min_paragraph_len=least, lowercase=False)) == every(D.count_in_documents(D.paragraph_words(odd, "doc", lowercase=False, min_paragraph_len=least), "word"))
+    assert every(regexp_tokens(odd, ["para_no"])) == every(regexp_tokens(odd, ["para_no"], rule=GENERAL))
+    assert Tokenizer().scanner() and not Tokenizer(GENERAL).scanner()
+
+
+def test_tokens_of_a_document_are_not_shuffled_one_by_one(odd):
+    from corpuscle.functions.text import regexp_tokens
+
+    assert "Exchange" not in regexp_tokens(odd.coalesce(1), ["para_no"])._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
+    plan = D.word_counts(odd, "doc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
+def test_spans_are_dropped_where_they_are_made(spark, odd):
+    """Counts and mentions are those of the plan that lists all spans, and only likely names leave the kernel."""
+    from corpuscle.functions.text import Tokenizer
+
+    names = spark.createDataFrame([("web",), ("the web",), ("of the web",), ("é",), ("web_web 12",), ("i̇stanbul",), ("straße",), ("no such",), ("web",), (None,), ("ασ",), ("日本語 web の web",), ("web。",)], "name string")
+    every = lambda df: sorted(map(str, df.collect()))
+    for fold in (False, True):
+        got = N.name_document_counts(odd, names, "doc", ["doc", "para_no"], 20, fold)
+        assert every(got) == every(N.name_document_counts(odd, names, "doc", ["doc", "para_no"], 20, fold, Tokenizer(GENERAL)))
+        few, all_spans = N.name_spans(odd, ["para_no"], names, 20, fold), N.token_spans(odd, ["para_no"], 20, fold, tokenizer=Tokenizer(GENERAL))
+        keep = lambda df: df.join(names.distinct(), "name", "left_semi").select("para_no", "start", "end", "name")
+        assert every(keep(few)) == every(keep(all_spans)) and 0 < few.count() <= keep(all_spans).count() + 5 < all_spans.count()
+
+
+def test_filter_of_many_names_lets_all_through(spark):
+    names = spark.range(5000).selectExpr("concat('n', id, ' x') as name")
+    docs = spark.range(5000).selectExpr("id", "concat('a n', id, ' x b') as text")
+    got = N.name_document_counts(docs, names, "id", ["id"], 20)
+    assert got.count() == 5000 and got.where("doc_count <> 1").isEmpty()
