@@ -80,12 +80,12 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("word_counts", f"WITH {TOK} SELECT lower(token) AS word, CAST(count(*) AS BIGINT) AS count, CAST(count(DISTINCT doc_id) AS BIGINT) AS doc_count FROM tok WHERE n >= 5 GROUP BY 1 HAVING count(*) >= 5")
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return D.count_in_documents(D.paragraph_words(X.paragraphs(spark, sf), "doc_id"), "word").where("count >= 5")
+    return D.word_counts(X.paragraphs(spark, sf), "doc_id").where("count >= 5")
 
 
 @query("top_words", f"WITH {TOK} SELECT lower(token) AS word, CAST(count(*) AS BIGINT) AS count, CAST(count(DISTINCT doc_id) AS BIGINT) AS doc_count FROM tok WHERE n >= 5 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100")
 def top_words(spark: SparkSession, sf: str) -> DataFrame:
-    return D.count_in_documents(D.paragraph_words(X.paragraphs(spark, sf), "doc_id"), "word").orderBy(F.desc("count"), "word").limit(100)
+    return D.word_counts(X.paragraphs(spark, sf), "doc_id").orderBy(F.desc("count"), "word").limit(100)
 
 
 @query("word_index", f"WITH {TOK} SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx FROM (SELECT lower(token) AS word FROM tok WHERE n >= 5 GROUP BY 1 HAVING count(*) >= 5)")
