@@ -193,10 +193,12 @@ class Places:
         up, self.down = _powers(len(points) + 1)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)])])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.hashes(start, end) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def name_places(batches: Batches) -> Batches:
@@ -272,3 +274,219 @@ def token_rows(scanner: Scanner, keys: list[str]) -> Callable[[Batches], Batches
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in keys), pa.array(pos, pa.int32()), strings(points, row_at[row] + start, row_at[row] + end), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=[*keys, "pos", "token", "start", "end"])
 
     return run
+
+
+# Packed paragraphs: a row a paragraph, with a list of its tokens' starts and one of their words
+
+
+class Words:
+    """Indices of words by their hashes, each hit compared with the word itself; about 30 bytes a word."""
+
+    def __init__(self, texts: list[str], idx: list[int]):
+        words = pa.array(texts, pa.string())
+        h = self._hashes(words)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.idx, self.words = h[order], np.array(idx, np.int32)[order], words.take(pa.array(order))
+        self.twins = int(max(np.diff(np.append(_runs(self.hashes), len(h))), default=1))
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        points, at = code_points(words)
+        return Places(points).hashes(at[:-1], at[1:])
+
+    def find(self, values: pa.Array) -> np.ndarray:
+        """The index of each value, -1 for a miss."""
+        out = np.full(len(values), -1, np.int32)
+        if not len(self.idx) or not len(values):
+            return out
+        first = np.searchsorted(self.hashes, self._hashes(values))
+        for k in range(self.twins):  # words of one hash stand side by side
+            at = np.minimum(first + k, len(self.idx) - 1)
+            same = pc.equal(self.words.take(pa.array(at)), values).to_numpy(zero_copy_only=False)
+            out[same] = self.idx[at[same]]
+        return out
+
+
+def _listed(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def packed(scanner: Scanner, keys: list[str], lowercase: bool, least: int, words: Any) -> Callable[[Batches], Batches]:
+    """From ``keys, text`` to ``keys, start``, with ``words`` also ``word_idx``, of texts with at least so many tokens; unknown words have -1."""
+
+    def run(batches: Batches) -> Batches:
+        for b in text_chunks(batches, "text"):
+            points, row_at, row, start, end = scanner.scan(b.column("text"))
+            n = np.bincount(row, minlength=b.num_rows)
+            some = n >= least
+            ok = some[row]
+            row, start, end, take = row[ok], start[ok], end[ok], pa.array(np.flatnonzero(some))
+            at = np.concatenate([[0], np.cumsum(n[some])])
+            cols, names = [*(b.column(k).take(take) for k in keys), _listed(at, start, pa.int32())], [*keys, "start"]
+            if words is not None:
+                if lowercase:
+                    points = ascii_lower(points)
+                codes, values = numbered(strings(points, row_at[row] + start, row_at[row] + end), lowercase)
+                cols.append(_listed(at, words.value.find(values)[codes], pa.int32()))
+                names.append("word_idx")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row of each element, where rows begin among the elements, with the end, and the elements; null is empty."""
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)]), lists.flatten()
+
+
+def _last_at(row: np.ndarray, place: np.ndarray, starts_row: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number in its row of the last start at or before each place, -1 where there is none; starts rise within a row."""
+    found = np.searchsorted(starts_row * (1 << 32) + starts, row * (1 << 32) + place, "right") - 1
+    return np.maximum(found - at[row], -1)
+
+
+def placed(keys: list[str]) -> Callable[[Batches], Batches]:
+    """From ``places`` (structs with ``_at``) and ``start`` to the structs' fields and the last start's number, or 0."""
+
+    def run(batches: Batches) -> Batches:
+        for b in list_chunks(batches, "places"):
+            row, _, p = _flat(b.column("places"))
+            starts_row, at, starts = _flat(b.column("start"))
+            found = _last_at(row, p.field("_at").to_numpy(zero_copy_only=False).astype(np.int64), starts_row, starts.to_numpy(zero_copy_only=False).astype(np.int64), at)
+            kept = [f.name for f in p.type if f.name != "_at"]
+            yield pa.RecordBatch.from_arrays([*(p.field(k) for k in kept), pa.array(np.maximum(found, 0), pa.int32())], names=[*kept, "_found"])
+
+    return run
+
+
+def with_sentences(names: list[str]) -> Callable[[Batches], Batches]:
+    """Adds ``sent``: of each token the number of the last of ``sentences(start, sent)`` that starts at or before it, or 0."""
+
+    def run(batches: Batches) -> Batches:
+        for b in list_chunks(batches, "start"):
+            row, at, start = _flat(b.column("start"))
+            s_row, s_at, s = _flat(b.column("sentences"))
+            found = _last_at(row, start.to_numpy(zero_copy_only=False).astype(np.int64), s_row, s.field("start").to_numpy(zero_copy_only=False).astype(np.int64), s_at)
+            number = s.field("sent").to_numpy(zero_copy_only=False)
+            sent = np.where(found >= 0, number[np.clip(s_at[row] + found, 0, len(number) - 1)], 0) if len(number) else np.zeros(len(row), np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), _listed(at, sent, pa.int32())], names=[*names, "sent"])
+
+    return run
+
+
+def hash_int(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an integer that follows what ``seed`` is the hash of."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = seed.view(np.uint64) + p5 + np.uint64(4)
+    h = h ^ ((x.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+#: Pairs that a task sums before it returns them: 64 MB.
+HELD_PAIRS = 1 << 23
+
+
+def _pair_counts(waiting: list[np.ndarray]) -> pa.RecordBatch:
+    key = np.concatenate(waiting)
+    waiting.clear()
+    key.sort()
+    first = _runs(key)
+    n, key = np.diff(np.append(first, len(key))), key[first]
+    return pa.RecordBatch.from_arrays([pa.array(key >> 32, pa.int32()), pa.array(key & 0xFFFFFFFF, pa.int32()), pa.array(n, pa.int64())], names=["src", "dst", "n"])
+
+
+def pairs(window: int, keep: Any, fixed: bool, taken: list[str], keyed: bool, counted: bool, limit: int = 1 << 17) -> Callable[[Batches], Batches]:
+    """Skip-gram pairs of packed paragraphs whose ``_h0``, ``_h1`` and ``_h2`` are the hashes of the three seeds and the keys.
+
+    The draws are those of ``training.uniform``. Out come ``taken, pos, ctx, src, dst``, or with ``keyed`` ``taken, src,
+    dst, key``, or with ``counted`` ``src, dst, n`` with the smaller number first, for either order, summed over about
+    HELD_PAIRS pairs. A window that isn't fixed has no such counts."""
+
+    def run(batches: Batches) -> Batches:
+        held, waiting = None if keep is None else keep.value, []
+        chance = lambda h: (h & np.int64((1 << 30) - 1)) / float(1 << 30) * 4294967295.0
+        for b in list_chunks(batches, "word_idx", limit):
+            row, at, word = _flat(b.column("word_idx"))
+            word = word.to_numpy(zero_copy_only=False)
+            pos = np.arange(len(row)) - at[row]
+            h0, h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_h0", "_h1", "_h2"))
+            i = np.flatnonzero(word >= 0)
+            if held is not None:
+                i = i[chance(hash_int(pos[i], h0[row[i]])) < held[word[i]]]
+            size = np.full(len(i), window)
+            if not fixed:
+                size = np.floor((hash_int(pos[i], h1[row[i]]) & np.int64((1 << 30) - 1)) / float(1 << 30) * window).astype(np.int64) + 1
+            sent = _flat(b.column("sent"))[2].to_numpy(zero_copy_only=False) if "sent" in b.schema.names else None
+            src, dst = [], []
+            for d in range(1, window + 1) if counted else (d for k in range(1, window + 1) for d in (-k, k)):
+                a = i[size >= abs(d)]
+                a = a[(a + d >= at[row[a]]) & (a + d < at[row[a] + 1])]
+                c = a + d
+                ok = word[c] >= 0
+                if sent is not None:
+                    ok &= sent[a] == sent[c]
+                src.append(a[ok])
+                dst.append(c[ok])
+            a, c = np.concatenate(src), np.concatenate(dst)
+            if held is not None:
+                ok = chance(hash_int(pos[c], hash_int(pos[a], h2[row[a]]))) < held[word[c]]
+                a, c = a[ok], c[ok]
+            if counted:
+                x, y = word[a].astype(np.int64), word[c].astype(np.int64)
+                waiting.append(np.minimum(x, y) << 32 | np.maximum(x, y))
+                if sum(map(len, waiting)) >= HELD_PAIRS:
+                    yield _pair_counts(waiting)
+                continue
+            cols, names = [b.column(k).take(pa.array(row[a])) for k in taken], [*taken]
+            if keyed:
+                own = [pa.array(hash_int(pos[c], hash_int(pos[a], h0[row[a]])))]
+            else:
+                cols, names, own = [*cols, pa.array(pos[a], pa.int32()), pa.array(pos[c], pa.int32())], [*names, "pos", "ctx"], []
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(word[a], pa.int32()), pa.array(word[c], pa.int32()), *own], names=[*names, "src", "dst", *["key"] * keyed])
+        if waiting:
+            yield _pair_counts(waiting)
+
+    return run
+
+
+def anchors(keys: list[str], window: int) -> Callable[[Batches], Batches]:
+    """From packed paragraphs with ``targets(start, end, entity_idx)`` to ``keys, start, end, entity_idx, ctx, word_idx``."""
+
+    def run(batches: Batches) -> Batches:
+        for b in list_chunks(batches, "start"):
+            row, _, t = _flat(b.column("targets"))
+            s_row, at, starts = _flat(b.column("start"))
+            starts = starts.to_numpy(zero_copy_only=False).astype(np.int64)
+            word = _flat(b.column("word_idx"))[2].to_numpy(zero_copy_only=False)
+            begin, stop = (t.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+            first = np.maximum(_last_at(row, begin, s_row, starts, at), 0)
+            last = np.maximum(_last_at(row, np.maximum(0, stop - 1), s_row, starts, at), 0)
+            low, high = np.maximum(0, first - window), np.minimum(last + window, at[row + 1] - at[row] - 1)
+            n = np.maximum(0, high - low + 1)
+            which, ctx = np.repeat(np.arange(len(row)), n), _repeated(low, n)
+            found = word[at[row[which]] + ctx]
+            ok = ((ctx < first[which]) | (ctx > last[which])) & (found >= 0)
+            if "sent" in b.schema.names and "link_sent" in {f.name for f in t.type}:
+                ok &= _flat(b.column("sent"))[2].to_numpy(zero_copy_only=False)[at[row[which]] + ctx] == t.field("link_sent").to_numpy(zero_copy_only=False)[which]
+            which, ctx, found = which[ok], ctx[ok], found[ok]
+            take = pa.array(row[which])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in keys), *(t.field(c).take(pa.array(which)) for c in ("start", "end", "entity_idx")), pa.array(ctx, pa.int32()), pa.array(found, pa.int32())], names=[*keys, "start", "end", "entity_idx", "ctx", "word_idx"])
+
+    return run
+
+
+def piece_rows(keys: list[str]) -> Callable[[Batches], Batches]:
+    """From ``keys, parts``, the pieces of a text in order, to ``keys, sent, start, end``."""
+
+    def run(batches: Batches) -> Batches:
+        for b in list_chunks(batches, "parts"):
+            row, at, part = _flat(b.column("parts"))
+            ends = np.concatenate([[0], np.cumsum(pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64))])
+            take, base = pa.array(row), ends[at[row]]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in keys), pa.array(np.arange(len(row)) - at[row], pa.int32()), pa.array(ends[:-1] - base, pa.int32()), pa.array(ends[1:] - base, pa.int32())], names=[*keys, "sent", "start", "end"])
+
+    return run

@@ -56,9 +56,8 @@ def sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, sent, start, end``: contiguous spans that cover the text; white space after a sentence belongs to it."""
     marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({_SENTENCE_END})", "$1\u0000")
     parts = F.filter(F.split(marked, "\u0000"), lambda s: s != "")
-    rows = df.select(*keys, F.posexplode(parts).alias("sent", "s"))
-    end = F.sum(F.length("s")).over(Window.partitionBy(*keys).orderBy("sent")).cast("int")
-    return rows.withColumn("end", end).select(*keys, "sent", (F.col("end") - F.length("s")).alias("start"), "end")
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.IntegerType()) for c in ("sent", "start", "end"))])
+    return df.select(*keys, parts.alias("parts")).mapInArrow(K.piece_rows(keys), schema)
 
 
 class Tokenizer:

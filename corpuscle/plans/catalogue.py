@@ -326,19 +326,19 @@ SKIP = TOK + ", v AS (SELECT lower(token) AS word FROM tok WHERE n >= 5 GROUP BY
 
 def _indexed(spark: SparkSession, sf: str) -> tuple[D.Dictionary, DataFrame]:
     d = _dictionary(spark, sf, 50)
-    return d, E.indexed_tokens(X.paragraphs(spark, sf), d, ["doc_id", "para_no"], 5)
+    return d, E.packed_tokens(X.paragraphs(spark, sf), d, ["doc_id", "para_no"], 5)
 
 
-def _named_pairs(d: D.Dictionary, pairs: DataFrame) -> DataFrame:
-    per = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    name = lambda c: d.words.select(F.col("idx").alias(c), F.col("text").alias(f"{c}_word"))
+def _named_pairs(d: D.Dictionary, per: DataFrame) -> DataFrame:
+    held = F.broadcast if d.word_size <= E.HELD_WORDS else lambda df: df
+    name = lambda c: held(d.words.select(F.col("idx").alias(c), F.col("text").alias(f"{c}_word")))
     return per.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_word").alias("src"), F.col("dst_word").alias("dst"), "n")
 
 
 @query("skipgram_pairs", f"WITH {SKIP} SELECT a.word AS src, b.word AS dst, CAST(count(*) AS BIGINT) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.para_no = b.para_no AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 WHERE a.word IS NOT NULL AND b.word IS NOT NULL GROUP BY 1, 2")
 def skipgram_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d, tok = _indexed(spark, sf)
-    return _named_pairs(d, E.word_pairs(tok, ["doc_id", "para_no"], 2, fixed_window=True))
+    return _named_pairs(d, E.pair_counts(tok, ["doc_id", "para_no"], 2))
 
 
 @query("sentence_pairs", f"""WITH {SKIP}, {SPAN[len(PARA) + 2:]}, sen AS (SELECT doc_id, para_no, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS sent FROM (SELECT doc_id, para_no, list_filter(string_split(regexp_replace(text, '([.!?…。！？]+["'')\\]]*\\s+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM para)),
@@ -349,14 +349,14 @@ def sentence_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d, tok = _indexed(spark, sf)
     keys = ["doc_id", "para_no"]
     tok = E.sentence_of(tok, T.sentences(X.paragraphs(spark, sf), keys), keys, "start")
-    return _named_pairs(d, E.word_pairs(tok, keys, 2, fixed_window=True))
+    return _named_pairs(d, E.pair_counts(tok, keys, 2))
 
 
 @query("char_to_token", f"WITH {SPAN}, c AS (SELECT doc_id, para_no, unnest(range(0, length(text), 37)) AS at_char FROM para WHERE length(text) > 0) SELECT c.doc_id, CAST(c.para_no AS INTEGER) AS para_no, CAST(at_char AS INTEGER) AS at_char, CAST(coalesce(max(pos), 0) AS INTEGER) AS token FROM c LEFT JOIN span p ON p.doc_id = c.doc_id AND p.para_no = c.para_no AND p.s <= at_char GROUP BY ALL")
 def char_to_token(spark: SparkSession, sf: str) -> DataFrame:
     p, keys = X.paragraphs(spark, sf), ["doc_id", "para_no"]
     places = p.where("length(text) > 0").select(*keys, F.explode(F.expr("sequence(0, length(text) - 1, 37)")).alias("at_char"))
-    return E.char_to_token(places, T.regexp_tokens(p, keys), keys, "at_char", "token")
+    return E.char_to_token(places, E.packed_tokens(p, None, keys), keys, "at_char", "token")
 
 
 @query("anchor_pairs", f"""WITH {SPAN}, v AS (SELECT lower(token) AS word, row_number() OVER (ORDER BY lower(token)) AS i FROM span s JOIN (SELECT doc_id, para_no FROM span GROUP BY ALL HAVING count(*) >= 5) USING (doc_id, para_no) GROUP BY 1 HAVING count(*) >= 50),
@@ -366,7 +366,7 @@ t2 AS (SELECT t.*, coalesce((SELECT max(pos) FROM span s WHERE s.doc_id = t.doc_
 SELECT t.doc_id, CAST(t.para_no AS INTEGER) AS para_no, CAST(s.pos AS INTEGER) AS ctx, v.word FROM t2 t JOIN span s ON s.doc_id = t.doc_id AND s.para_no = t.para_no AND s.pos >= ta - 3 AND s.pos <= tb + 3 AND (s.pos < ta OR s.pos > tb) JOIN v ON v.word = lower(s.token)""")
 def anchor_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d, tok = _indexed(spark, sf)
-    tok, keys = cut(tok), ["doc_id", "para_no"]
+    keys = ["doc_id", "para_no"]
     t = X.paragraphs(spark, sf).where("length(text) >= 30").join(tok.select(*keys).distinct(), keys, "left_semi")
     t = t.select(*keys, F.expr("cast(length(text) div 3 as int)").alias("start"), F.expr("cast(length(text) div 3 + 9 as int)").alias("end"), F.lit(0).alias("entity_idx"))
     out = E.anchor_pairs(t, tok, keys, 3)

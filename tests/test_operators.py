@@ -408,3 +408,43 @@ def test_filter_of_many_names_lets_all_through(spark):
     docs = spark.range(5000).selectExpr("id", "concat('a n', id, ' x b') as text")
     got = N.name_document_counts(docs, names, "id", ["id"], 20)
     assert got.count() == 5000 and got.where("doc_count <> 1").isEmpty()
+
+
+def test_packed_paragraphs_give_the_pairs_of_token_rows(spark, odd, monkeypatch):
+    """Pairs, draws, anchors and places from lists of a paragraph are those from a row for each token."""
+    from corpuscle.functions.text import sentences
+
+    every = lambda df: sorted(map(str, df.collect()))
+    p, keys = odd.where("doc is not null"), ["doc", "para_no"]
+    words = D.dense_index(D.word_counts(p, "doc", min_paragraph_len=1), "word").select("idx", F.col("word").alias("text"), "count", "doc_count").where("idx % 5 <> 3").localCheckpoint()
+    d = D.Dictionary(words, words.limit(0), words.limit(0), {"word_size": words.count(), "entity_size": 0, "lowercase": True})
+    rows, tok = E.indexed_tokens(p, d, keys, 3), E.packed_tokens(p, d, keys, 3)
+    flat = tok.select(*keys, F.posexplode(F.arrays_zip("start", "word_idx")).alias("pos", "t")).select(*keys, "pos", "t.start", "t.word_idx")
+    assert every(flat) == every(rows.select(*keys, "pos", "start", "word_idx"))
+    keep = E.sampling_table(d.words, 0.01)
+    cut = sentences(p, keys)
+    for a, b in ((rows, tok), (E.sentence_of(rows, cut, keys, "start"), E.sentence_of(tok, cut, keys, "start"))):
+        for kept in (None, keep):
+            for fixed, mode in ((True, "fresh"), (False, "fresh"), (False, "shrinking")):
+                want = every(E.word_pairs(a, keys, 3, kept, 11, fixed, mode))
+                assert want and every(E.word_pairs(b, keys, 3, kept, 11, fixed, mode)) == want
+        assert every(E.pair_counts(b, keys, 2)) == every(E.word_pairs(a, keys, 2, fixed_window=True).groupBy("src", "dst").agg(F.count("*").alias("n")))
+    targets = p.where("length(text) > 12").select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in ((0, 3), (7, 7), (5, 12), (400, 900))])).alias("t")).select(*keys, "t.start", "t.end", F.lit(4).alias("entity_idx"))
+    for kept in (None, keep):
+        assert every(E.anchor_pairs(targets, tok, keys, 2, kept)) == every(E.anchor_pairs(targets, rows, keys, 2, kept))
+    from corpuscle.functions.text import regexp_tokens
+
+    places = p.where("length(text) > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.length("text"))).alias("at"))
+    assert every(E.char_to_token(places, E.packed_tokens(p, None, keys), keys, "at", "tok")) == every(E.char_to_token(places, regexp_tokens(p, keys), keys, "at", "tok"))
+    plan = E.pair_counts(tok, keys, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan.split("MapInArrow")[1]
+    monkeypatch.setattr(E, "HELD_WORDS", 3)  # a dictionary that doesn't go out to tasks
+    assert every(E.packed_tokens(p, d, keys, 3)) == every(tok)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    from corpuscle.functions import kernels as K
+
+    monkeypatch.setattr(K.Words, "_hashes", staticmethod(lambda words: np.array([len(x) for x in words.to_pylist()], np.uint64)))
+    w = K.Words(["aa", "b", "bb", "cc", "dddd"], [7, 8, 9, 10, 11])
+    assert w.find(pa.array(["cc", "aa", "bb", "xx", "b", "", "dddd", "eeeeee"])).tolist() == [10, 7, 9, -1, 8, -1, 11, -1]
