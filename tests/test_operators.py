@@ -448,3 +448,20 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(K.Words, "_hashes", staticmethod(lambda words: np.array([len(x) for x in words.to_pylist()], np.uint64)))
     w = K.Words(["aa", "b", "bb", "cc", "dddd"], [7, 8, 9, 10, 11])
     assert w.find(pa.array(["cc", "aa", "bb", "xx", "b", "", "dddd", "eeeeee"])).tolist() == [10, 7, 9, -1, 8, -1, 11, -1]
+
+
+def test_training_deals_paragraphs_and_draws_their_pairs_in_place(spark, odd):
+    """One row a paragraph goes to training; the pairs drawn there are those of the token rows, with their page's rate."""
+    p, keys = odd.where("doc is not null"), ["doc", "para_no"]
+    words = D.dense_index(D.word_counts(p, "doc", min_paragraph_len=1), "word").select("idx", F.col("word").alias("text"), "count", "doc_count").localCheckpoint()
+    d = D.Dictionary(words, words.select("idx", F.col("text").alias("title"), "count", "doc_count").limit(0), spark.createDataFrame([], "src string, entity_idx int"), {"word_size": words.count(), "entity_size": 0, "lowercase": True})
+    links = spark.createDataFrame([], "doc long, para_no int, target string, text string, start int, end int")
+    params = TrainParams(sample=0.01, window=3, min_paragraph_len=3)
+    rows = E.training_rows(p, links, d, None, None, params, 0, keys)
+    tok = E.indexed_tokens(p, d, keys, 3)
+    assert rows.count() == tok.select(*keys).distinct().count()
+    keep = E.sampling_table(words, 0.01)
+    got = [r for pdf in E._drawn(iter(rows.toArrow().combine_chunks().to_batches()), 3, E._held_keep(keep)) for r in pdf.itertuples(index=False)]
+    pages = E.alpha_schedule(p.select("doc").distinct(), F.xxhash64(F.lit(0), "doc"), p.select("doc").distinct().count(), params, 0, "doc")
+    want = E.word_pairs(tok, keys, 3, keep, 0).select("doc", "src", "dst", F.xxhash64(F.lit(0), *keys, "pos", "ctx").alias("key")).join(pages, "doc").select("src", "dst", "alpha", "key").collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
