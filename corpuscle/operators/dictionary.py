@@ -55,9 +55,9 @@ def fold_targets(redirects: DataFrame) -> DataFrame:
 
     The sources are folded once each, in the binary order of their titles: a count moves to the target and on from there
     only while the target is itself a source that comes later. A source that targets itself loses its count."""
-    red = redirects.select("src", "dst").dropDuplicates(["src"])
+    red = cut(redirects.select("src", "dst").dropDuplicates(["src"]))  # every turn reads it
     nxt = red.select(F.col("src").alias("key"), F.col("dst").alias("d"))
-    state = cut(red.withColumn("key", F.col("src")))
+    state = red.withColumn("key", F.col("src"))
     while True:
         # a source that targets itself loses what it holds, wherever that came from
         step = state.join(nxt, (state["dst"] == nxt["key"]) & (state["dst"] > state["key"]), "left")
@@ -136,13 +136,14 @@ class Dictionary:
         words = word_counts(paragraphs, paragraph_doc, "text", params.lowercase, params.min_paragraph_len, tokenizer).where(F.col("count") >= params.min_word_count).withColumnRenamed("word", "text")
         words = cut(dense_index(words, "text").select("idx", "text", "count", "doc_count"))
         n_words = words.count()
+        redirects = cut(redirects.select("src", "dst").dropDuplicates(["src"]))
         raw = entity_counts(links.select(F.col(link_doc).alias("doc"), F.col("target").alias("title")))
         if params.min_entity_count <= 0:  # folding makes a target exist even where nothing links to it
             zero = redirects.select(F.col("dst").alias("title"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("doc_count"))
             raw = raw.unionByName(zero).groupBy("title").agg(F.sum("count").alias("count"), F.sum("doc_count").alias("doc_count"))
         ents = filter_entities(fold_redirects(raw, redirects), disambiguations, language, params)
         ents = cut(dense_index(ents, "title", n_words).select("idx", "title", "count", "doc_count"))
-        red = redirects.dropDuplicates(["src"]).join(ents, F.col("dst") == F.col("title")).select("src", F.col("idx").alias("entity_idx"))
+        red = redirects.join(ents, F.col("dst") == F.col("title")).select("src", F.col("idx").alias("entity_idx"))
         meta = {"uuid": uuid.uuid4().hex, "language": language, "lowercase": params.lowercase, "min_paragraph_len": params.min_paragraph_len, "build_params": as_dict(params), "word_size": n_words, "entity_size": ents.count()}
         return Dictionary(words, ents, red, meta)
 

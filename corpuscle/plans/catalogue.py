@@ -181,8 +181,8 @@ def word_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return d.word_index(tokens, "token")
 
 
-def _named_edges(spark: SparkSession, sf: str) -> DataFrame:
-    d = _dictionary(spark, sf, 50)
+def _named_edges(spark: SparkSession, sf: str, d: D.Dictionary | None = None) -> DataFrame:
+    d = d or _dictionary(spark, sf, 50)
     g = G.LinkGraph.build(X.page_links(spark, sf), d)
     name = lambda c: d.entities.select(F.col("idx").alias(c), F.col("title").alias(f"{c}_title"))
     return g.edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_title").alias("src"), F.col("dst_title").alias("dst"))
@@ -315,8 +315,8 @@ def link_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("graph_pairs", f"WITH {EDGE}, o AS (SELECT title, row_number() OVER (ORDER BY title) - 1 AS i FROM ent) SELECT CAST(floor(i / 10) AS BIGINT) AS step, src, dst FROM o JOIN edge ON edge.src = o.title")
 def graph_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    edges = cut(_named_edges(spark, sf))
     d = _dictionary(spark, sf, 50)
+    edges = _named_edges(spark, sf, d)
     sched = d.entities.select(F.floor((F.col("idx") - d.entity_offset) / 10).cast("long").alias("step"), F.col("title").alias("idx"))
     return E.graph_pairs(sched, edges)
 
